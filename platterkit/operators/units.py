@@ -64,7 +64,7 @@ def worded_seconds(text: Column) -> Column:
     seconds in words or signs in several languages, milliseconds with or without grouped thousands, frames with a rate
     and samples with a rate. Empty text states none.
     """
-    t = F.lower(F.trim(F.regexp_replace(text, r"[  -  　]", " ")))
+    t = F.lower(F.trim(F.regexp_replace(text, r"[\u00a0\u2000-\u200a\u202f\u3000]", " ")))
     iso = r"^pt(?:(\d+(?:[.,]\d+)?)h)?(?:(\d+(?:[.,]\d+)?)m)?(?:(\d+(?:[.,]\d+)?)s)?$"
     frames = r"^\D*(\d+)\s*(?:frames?|sectors?|sektoren)\s*[(@,]?\s*(?:at\s+)?(\d+(?:[.,]\d+)?)\s*(?:/\s*s|fps|per\s+sec)"
     samples = r"(\d+)\s*(?:samples?|smp)\s*(?:@|at|,)?\s*(\d+(?:[.,]\d+)?)\s*(k?)hz"
