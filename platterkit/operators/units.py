@@ -182,33 +182,50 @@ def note_units(feeds: DataFrame) -> DataFrame:
     return distinct.mapInPandas(_read_notes, "src string, feed string, start_us long, end_us long, unit string")
 
 
-def _title_key(title: Column) -> Column:
-    tail = F.regexp_replace(F.regexp_replace(title, r"^.* [-–] ", ""), r"\s*\((?:\d{4}|n\.d\.)\)\s*$", "")
-    return F.lower(F.trim(tail))
+def _video_title(title: Column) -> Column:
+    """The part after the artist and before a year in brackets."""
+    tail = F.when(F.contains(title, F.lit(" - ")), F.substring_index(title, " - ", -1)).otherwise(title)
+    return F.when(F.endswith(tail, F.lit(")")), F.regexp_replace(tail, r"\s*\((?:\d{4}|n\.d\.)\)\s*$", "")).otherwise(tail)
 
 
 def _records(tracks: DataFrame, videos: DataFrame) -> DataFrame:
-    def one(src: str, df: DataFrame) -> DataFrame:
+    """Rows ``(src, rec_id, k, feed, at_us, text, rest)`` of both tables: k is a 64-bit key of release and title, rest the text without its digits."""
+
+    def one(src: str, df: DataFrame, title: Column) -> DataFrame:
         return df.select(
             F.lit(src).alias("src"),
             F.col("id").alias("rec_id"),
-            "release_id",
-            "title",
+            F.when(F.col("title").isNotNull(), F.xxhash64("release_id", F.lower(F.trim(title)))).alias("k"),
             "feed",
             F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', recorded_at)").alias("at_us"),
             F.trim(F.col("duration").cast("string")).alias("text"),
-        ).where(F.col("text") != "")
-
-    both = one("tracks", tracks).unionByName(one("release_videos", videos))
-    bare = F.col("text").rlike(r"^\d+(?:[.,]\d+)?$")
-    common = F.col("text").rlike(r"^\d+(?::\d+){1,2}$")
-    return both.withColumns(
-        {
-            "number": F.when(bare, _number(F.col("text"))),
-            "common": common,
-            "stated": F.when(common, clock_seconds(F.col("text"))).otherwise(worded_seconds(F.col("text"))),
-        }
-    )
+        ).where("text <> ''")
+
+    both = one("tracks", tracks, F.col("title")).unionByName(one("release_videos", videos, _video_title(F.col("title"))))
+    return both.withColumn("rest", F.translate("text", "0123456789", ""))
+
+
+# Cheap tests for the two commonest shapes; each text is bare, common or other.
+def _is_bare() -> Column:
+    return (F.col("rest") == "") | (F.col("rest").isin(".", ",") & ~F.col("text").rlike("^[.,]|[.,]$"))
+
+
+def _is_common() -> Column:
+    return F.col("rest").isin(":", "::") & ~F.col("text").rlike("^:|:$|::")
+
+
+def _bare_number() -> Column:
+    return F.translate("text", ",", ".").try_cast("double")
+
+
+def _common_seconds() -> Column:
+    part = lambda i: F.get(F.split("text", ":"), F.lit(i)).try_cast("double")
+    return F.when(F.col("rest") == ":", part(0) * 60 + part(1)).otherwise(part(0) * 3600 + part(1) * 60 + part(2))
+
+
+def _once(value: Column, name: str) -> Column:
+    """Keeps the rows in which ``value`` isn't null, evaluating it once (a filter on it would evaluate it again)."""
+    return F.explode(F.array_compact(F.array(value))).alias(name)
 
 
 def infer_units(records: DataFrame, silent: DataFrame) -> DataFrame:
@@ -222,16 +239,17 @@ def infer_units(records: DataFrame, silent: DataFrame) -> DataFrame:
     Plan: stated lengths are aggregated by a 64-bit key of release and title before they meet the bare numbers of the
     silent feeds, both sides two narrow columns; everything after is a few rows a feed.
     """
-    key = F.xxhash64("release_id", _title_key(F.col("title")))
-    known = records.where((F.col("stated") > 0) & F.col("title").isNotNull()).groupBy(key.alias("k")).agg(F.avg(F.log("stated")).alias("length"))
-    bare = records.where(F.col("number") > 0).join(silent.select("src", "feed").distinct(), ["src", "feed"])
-    bare = bare.select("src", "feed", F.log("number").alias("x"), key.alias("k"), (F.regexp_extract("text", r"[.,](\d\d)", 1).try_cast("int") > 59).alias("beyond"), F.col("text").rlike("[.,]").alias("decimal"))
+    stated = F.when(_is_common(), _common_seconds()).when(~_is_bare(), worded_seconds(F.col("text")))
+    length = records.where("k is not null").select("k", _once(F.log(F.nullif(F.greatest(stated, F.lit(0.0)), F.lit(0.0))), "length"))
+    known = length.groupBy("k").agg(F.avg("length").alias("length"))
+    bare = records.where(_is_bare()).join(F.broadcast(silent.select("src", "feed").distinct()), ["src", "feed"])  # the table of feeds doesn't grow
+    bare = bare.select("src", "feed", F.log(F.nullif(_bare_number(), F.lit(0.0))).alias("x"), "k", (F.regexp_extract("text", r"[.,](\d\d)", 1).try_cast("int") > 59).alias("beyond"), (F.col("rest") != "").alias("decimal"))
     units = F.explode(F.array(*[F.struct(F.lit(k).alias("unit"), F.log(F.lit(v)).alias("factor")) for k, v in UNITS.items()]))
     linked = (
         bare.join(known, "k").select("src", "feed", (F.col("x") - F.col("length")).alias("r")).select("src", "feed", "r", units.alias("u"))
         .groupBy("src", "feed", "u.unit").agg(F.avg(F.least(F.abs(F.col("r") + F.col("u.factor")), F.lit(1.5))).alias("gap"), F.count("*").alias("n"))
     )
-    typical = records.where(F.col("stated") > 0).agg(F.percentile_approx(F.log("stated"), 0.5, 1000).alias("typical"))
+    typical = known.agg(F.percentile_approx("length", 0.5, 1000).alias("typical"))
     shape = bare.groupBy("src", "feed").agg(F.percentile_approx("x", 0.5, 1000).alias("x"), F.avg(F.coalesce(F.col("beyond"), F.lit(False)).cast("double")).alias("beyond"), F.avg(F.col("decimal").cast("double")).alias("decimal"))
     prior = shape.crossJoin(F.broadcast(typical)).select("src", "feed", "beyond", "decimal", (F.col("x") - F.col("typical")).alias("r"), units.alias("u"))  # one number
     costs = (
@@ -279,20 +297,21 @@ def stated_seconds(tracks: DataFrame, videos: DataFrame, feeds: DataFrame) -> Da
     )
     # at most a few rows a feed, gathered into one row a feed so that a record meets just one
     by_feed = units.groupBy("src", "feed").agg(F.collect_list(F.struct("start_us", "end_us", "unit", "unit_from", "is_unique")).alias("periods"))
-    worded = records.where("stated > 0 and not common").select("src", "rec_id", "stated", F.lit(None).cast("string").alias("unit"), F.lit("value").alias("unit_from"), F.lit(True).alias("is_unique"))
     held = F.get(
         F.filter("periods", lambda p: (p["start_us"].isNull() | (p["start_us"] <= F.col("at_us"))) & (p["end_us"].isNull() | (p["end_us"] > F.col("at_us")))), F.lit(0)
     )
-    bare = (
-        records.where("number > 0")
-        .join(F.broadcast(by_feed), ["src", "feed"])  # the table of feeds doesn't grow
-        .withColumn("p", held)
-        .where("p is not null and not (src = 'release_videos' and p.unit = 'second')")
-        .select("src", "rec_id", bare_seconds(F.col("number"), F.col("text"), F.col("p.unit")).alias("stated"), "p.unit", "p.unit_from", "p.is_unique")
+    own = F.struct(worded_seconds(F.col("text")).alias("length"), F.lit(None).cast("string").alias("unit"), F.lit("value").alias("unit_from"), F.lit(True).alias("is_unique"))
+    by_unit = F.transform(
+        F.array(held),
+        lambda p: F.when(
+            p.isNotNull() & ~((F.col("src") == "release_videos") & (p["unit"] == "second")),
+            F.struct(bare_seconds(_bare_number(), F.col("text"), p["unit"]).alias("length"), p["unit"].alias("unit"), p["unit_from"].alias("unit_from"), p["is_unique"].alias("is_unique")),
+        ),
     )
+    read = records.join(F.broadcast(by_feed), ["src", "feed"], "left")  # the table of feeds doesn't grow
+    found = read.select("src", "rec_id", _once(F.when(_is_bare(), F.get(by_unit, F.lit(0))).when(~_is_common(), own), "r"))
     return (
-        worded.unionByName(bare)
-        .withColumn("seconds", F.floor(F.col("stated") + 0.5).cast("long"))
-        .select("src", "rec_id", "seconds", "unit", "unit_from", "is_unique")
+        found.where("r.length > 0")
+        .select("src", "rec_id", F.floor(F.col("r.length") + 0.5).cast("long").alias("seconds"), "r.unit", "r.unit_from", "r.is_unique")
         .distinct()
     )
