@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from platterkit.llm.canonical import look_alike_pairs
 from platterkit.llm.cooccurrence import pair_counts, release_baskets
 from platterkit.llm.mixing import mix, sized_texts
+from platterkit.llm.mojibake import restore_texts
 from platterkit.llm.packing import pack_texts
 from platterkit.llm.sql import ORACLES  # noqa: F401
 from platterkit.llm.tokens import with_tokens
@@ -53,6 +54,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(sized_texts(read(spark, d, "documents")), read(spark, d, "mix_targets"))[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold characters from decoding with the wrong encoding."""
+    return restore_texts(read(spark, d, "documents").select("doc_id", "text"), "text", keep_text=False).where("garbled_runs > 0").select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled documents with their text restored where it can be."""
+    return restore_texts(read(spark, d, "documents").select("doc_id", "text"), "text").where("garbled_runs > 0").select("doc_id", "garbled_runs", "restored").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p6_found": p6_found,
@@ -60,4 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_packed": p8_packed,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
