@@ -12,6 +12,7 @@ from platterkit.llm.cooccurrence import pair_counts, release_baskets
 from platterkit.llm.mixing import mix, sized_texts
 from platterkit.llm.mojibake import restore_texts
 from platterkit.llm.packing import pack_texts
+from platterkit.llm.privacy import find_mentions, numbered_mentions, sanitise
 from platterkit.llm.sql import ORACLES  # noqa: F401
 from platterkit.llm.tokens import with_tokens
 from platterkit.session import read
@@ -27,6 +28,24 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """All video descriptions as ``src, rec_id, text``."""
+    one = lambda t: read(spark, d, t).select(F.lit(t).alias("src"), F.col("id").alias("rec_id"), F.col("description").alias("text"))
+    return one("release_videos").unionByName(one("video_metadata"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every mention of personal information in video descriptions."""
+    found = find_mentions(descriptions(spark, d), read(spark, d, "artists"), read(spark, d, "given_names"))
+    return numbered_mentions(found).select("src", "rec_id", "kind", "mention_no")
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    """All video descriptions with mentions replaced by typed placeholders."""
+    texts = descriptions(spark, d)
+    return sanitise(texts, find_mentions(texts, read(spark, d, "artists"), read(spark, d, "given_names")))
+
+
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every two genres or styles that share a release, with counts and odds."""
     return pair_counts(release_baskets(read(spark, d, "releases")), "items").select("item_a", "item_b", "c_ab", "c_a", "c_b", "n", F.round("odds_ratio", 6).alias("odds_ratio"))
@@ -66,6 +85,8 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_clean": p4_clean,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p8_packed": p8_packed,
