@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from platterkit.llm.canonical import look_alike_pairs
 from platterkit.llm.cooccurrence import pair_counts, release_baskets
+from platterkit.llm.linkage import catalogue, folder_candidates, folder_rules, link, video_candidates, video_rules
 from platterkit.llm.mixing import mix, sized_texts
 from platterkit.llm.mojibake import restore_texts
 from platterkit.llm.packing import pack_texts
@@ -46,6 +47,20 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return sanitise(texts, find_mentions(texts, read(spark, d, "artists"), read(spark, d, "given_names")))
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Videos paired with tracks and folders with releases, with confidences."""
+    releases, tracks = catalogue(read(spark, d, "releases"), read(spark, d, "tracks"))
+    videos = link(video_rules(video_candidates(releases, tracks, read(spark, d, "video_metadata"), read(spark, d, "feeds"))))
+    folders = link(folder_rules(folder_candidates(releases, tracks, read(spark, d, "local_folders"))))
+    one = lambda src, df: df.select(F.lit(src).alias("src"), F.col("entity").alias("entity_id"), F.col("item").alias("item_id"), "confidence")
+    return one("video", videos).unionByName(one("folder", folders))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Videos and folders that belong to a catalogue track or release."""
+    return p5_links(spark, d).select("src", "entity_id", "item_id")
+
+
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every two genres or styles that share a release, with counts and odds."""
     return pair_counts(release_baskets(read(spark, d, "releases")), "items").select("item_a", "item_b", "c_ab", "c_a", "c_b", "n", F.round("odds_ratio", 6).alias("odds_ratio"))
@@ -87,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_clean": p4_clean,
+    "p5_found": p5_found,
+    "p5_links": p5_links,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p8_packed": p8_packed,
