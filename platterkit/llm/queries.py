@@ -16,7 +16,7 @@ from platterkit.llm.packing import pack_texts
 from platterkit.llm.privacy import find_mentions, numbered_mentions, sanitise
 from platterkit.llm.sql import ORACLES  # noqa: F401
 from platterkit.llm.tokens import with_tokens
-from platterkit.session import read
+from platterkit.session import read, stash
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,9 +49,9 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_links(spark: SparkSession, d: str) -> DataFrame:
     """Videos paired with tracks and folders with releases, with confidences."""
-    releases, tracks = catalogue(read(spark, d, "releases"), read(spark, d, "tracks"))
-    videos = link(video_rules(video_candidates(releases, tracks, read(spark, d, "video_metadata"), read(spark, d, "feeds"))))
-    folders = link(folder_rules(folder_candidates(releases, tracks, read(spark, d, "local_folders"))))
+    cat = catalogue(read(spark, d, "releases"), read(spark, d, "tracks"))
+    videos = link(video_rules(stash(video_candidates(cat, read(spark, d, "video_metadata"), read(spark, d, "feeds")))))
+    folders = link(folder_rules(stash(folder_candidates(cat, read(spark, d, "local_folders")))))
     one = lambda src, df: df.select(F.lit(src).alias("src"), F.col("entity").alias("entity_id"), F.col("item").alias("item_id"), "confidence")
     return one("video", videos).unionByName(one("folder", folders))
 
