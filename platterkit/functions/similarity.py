@@ -11,6 +11,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def process(text: str | None) -> str:
@@ -98,12 +99,12 @@ def _paired(kernel, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([kernel(process(x), process(y)) for x, y in zip(a, b)], index=a.index, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _weighted(a: pd.Series, b: pd.Series) -> pd.Series:
     return _paired(weighted_ratio, a, b)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _token_sort(a: pd.Series, b: pd.Series) -> pd.Series:
     return _paired(token_sort_ratio, a, b)
 
