@@ -45,6 +45,9 @@ def _shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read back: like :func:`cut`, but compressed and with columns that can be pruned.
 
@@ -52,7 +55,13 @@ def stash(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # the plan runs this once, so its shuffle files can go as soon as the table is written
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
     def remove() -> None:
         with contextlib.suppress(Exception):
