@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platterkit.session import stash
+
 #: A span in more than this share of all texts reveals nobody.
 COMMON_SHARE = 0.02
 #: Words around a span are weighed if they occur beside spans in at least this share of the texts, but at least twice.
@@ -51,6 +53,8 @@ _ADDRESS = re.compile(
 _NUMBER = re.compile(
     r"(?<![\w@.-])(?:\+?\(\+?\d+\)|\+?\d+(?:[A-Z]{1,2}\d*)?|[A-Z]{1,2}\d+(?:[A-Z]\d*)?|[A-Z]{2}(?= \d))(?:[ ./-]?\(\d+\)|[ ./-]\d+[A-Z]?|(?<=\))\d+| [A-Z]\b)*(?![\w@])"
 )
+#: Numbers written for dialling: with a country's prefix, or an area code in brackets.
+_DIALLED = re.compile(r"\+\d{1,3}[ (]|\(0?\d{2,4}\) ?\d{3}")
 _NAME_TOKEN = re.compile(rf"{_WORD}|{_CAP}\.(?= {_CAP})")
 _ID_BEFORE = re.compile(rf"(?i:\b(?:{ID_WORDS}))\W*(?:(?:no|nr|n°|nº|number|num|num\.|número|nummer)\b\.?)?[\s:.#°º-]*\Z", re.I)
 _PHONE_BEFORE = re.compile(rf"\b(?:{PHONE_WORDS})\b[\s:.]*(?:(?:me|us|al|at|an|under|on|no|nr|n°|bei [^:\n]{{1,40}})[\s:.]*)?\Z", re.I)
@@ -72,7 +76,7 @@ def candidates(text: str) -> list[tuple]:
     for m in _NUMBER.finditer(masked):
         if sum(c.isdigit() for c in m[0]) >= 6:
             before = masked[max(0, m.start() - 60) : m.start()]
-            seed = "id" if _ID_BEFORE.search(before) else "phone" if _PHONE_BEFORE.search(before) else None
+            seed = "id" if _ID_BEFORE.search(before) else "phone" if _PHONE_BEFORE.search(before) or _DIALLED.match(m[0]) else None
             out.append(("number", m.start(), m.end(), m[0], None, None, None, None, shape(m[0]), seed))
     tokens = [(m.start(), m.end(), m[0]) for m in _NAME_TOKEN.finditer(masked)]
     for i, (start, end, given) in enumerate(tokens):
@@ -174,12 +178,12 @@ def find_mentions(texts: DataFrame, artists: DataFrame, given_names: DataFrame)
     ``texts`` has ``src, rec_id, text``. Kinds are name, email, phone, id and address. Null and empty texts have no mention; repeated rows give theirs
     once. A name whose two words are together the name of an artist is no private person. Whole texts are read.
 
-    Plan: one Arrow pass gives narrow candidates; spans that are in many texts leave before anything is joined, counts are
+    Plan: one Arrow pass gives narrow candidates, written once; spans that are in many texts leave before anything is joined, counts are
     aggregated partially, and only tables whose size is bounded by a share of the texts are broadcast. What is
     gathered by text are the few mentions of one description.
     """
     own = texts.select("src", F.col("rec_id").cast("long"), F.col("text").cast("string")).where("rec_id is not null and text <> ''").distinct()
-    spans = own.mapInArrow(_extract, f"src string, rec_id long, {_FIELDS}")
+    spans = stash(own.mapInArrow(_extract, f"src string, rec_id long, {_FIELDS}"))
     fixed = spans.where("kind in ('email', 'address')").select("src", "rec_id", "kind", "start", "end", "surface")
     return fixed.unionByName(disclosed_numbers(spans)).unionByName(disclosed_names(spans, own, artists, given_names)).distinct()
 
