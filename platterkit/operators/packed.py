@@ -126,7 +126,7 @@ def split_names(df: DataFrame, key: str, text: str, known: DataFrame, name: str,
     hits = runs.join(compound.select("__name"), "__name", "left_semi").groupBy("__text").agg(F.collect_set(F.struct("i", (-F.col("j")).alias("j"))).alias("__hits"))
     # take the hits from left to right, the longest first; one that begins before the end of the last taken is passed over
     taken = F.aggregate(
-        F.array_sort(F.coalesce("__hits", F.array().cast("array<struct<i:int,j:int>>"))),
+        F.sort_array(F.coalesce("__hits", F.array().cast("array<struct<i:int,j:int>>"))),
         F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i:int,j:int>>").alias("runs")),
         lambda a, h: F.when(h["i"] >= a["end"], F.struct((-h["j"]).alias("end"), F.array_append(a["runs"], F.struct(h["i"].alias("i"), (-h["j"]).alias("j"))).alias("runs"))).otherwise(a),
     )["runs"]

@@ -103,7 +103,7 @@ def collection_changes(snapshots: DataFrame) -> DataFrame:
         compared=[
             F.trim(F.col("title")),
             F.col("year"),
-            F.array_sort(F.array_distinct(F.col("genres"))),
+            F.sort_array(F.array_distinct(F.col("genres"))),
             F.coalesce(stated.cast("string"), F.col("date_added")),
         ],
         present=F.col("removed_from_discogs_at").isNull() | (F.col("removed_from_discogs_at") > F.col("snapshot_at")),

@@ -268,7 +268,7 @@ def infer_units(records: DataFrame, silent: DataFrame) -> DataFrame:
             ).alias("cost"),
         )
     )
-    ranked = costs.groupBy("src", "feed").agg(F.array_sort(F.collect_list(F.struct("cost", "unit"))).alias("c"))
+    ranked = costs.groupBy("src", "feed").agg(F.sort_array(F.collect_list(F.struct("cost", "unit"))).alias("c"))
     margin = F.get("c", F.lit(1))["cost"] - F.get("c", F.lit(0))["cost"]
     return ranked.select(
         "src", "feed", F.get("c", F.lit(0))["unit"].alias("unit"), F.get("c", F.lit(1))["unit"].alias("runner_up"), margin.alias("margin"), (margin >= UNIQUE_MARGIN).alias("is_unique")
