@@ -127,7 +127,7 @@ def pair_counts(baskets: DataFrame, items: str) -> DataFrame:
         codes = F.broadcast(codes)
     keyed = own.where(F.size("items") > 1).withColumn("basket", F.monotonically_increasing_id())
     lists = (
-        keyed.select("basket", F.explode("items").alias("item")).join(codes, "item").groupBy("basket").agg(F.array_sort(F.collect_list("code")).alias("codes")).select("codes")
+        keyed.select("basket", F.explode("items").alias("item")).join(codes, "item").groupBy("basket").agg(F.sort_array(F.collect_list("code")).alias("codes")).select("codes")
     )
     runs = lists.mapInArrow(_runs, "code long, n long")
     pairs = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merge, "code long, n long")

@@ -163,7 +163,7 @@ def disclosed_names(spans: DataFrame, texts: DataFrame, artists: DataFrame, give
     good = scored.where("artist is null").withColumn("score", score).where("score > 0").select("surface", "left", "right", "score")
     hits = rare.join(good, ["surface", "left", "right"])
     # of overlapping pairs ("Herr Thomas", "Thomas Weber") the one that reveals most stays
-    pairs = hits.groupBy("src", "rec_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "start", "end", "surface"))).alias("found"))
+    pairs = hits.groupBy("src", "rec_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("rank"), "start", "end", "surface"))).alias("found"))
     kept = F.aggregate(
         "found",
         F.array().cast("array<struct<rank:double,start:int,end:int,surface:string>>"),
@@ -190,13 +190,13 @@ def find_mentions(texts: DataFrame, artists: DataFrame, given_names: DataFrame)
 
 def numbered_mentions(mentions: DataFrame) -> DataFrame:
     """Mentions with ``mention_no``, counted from 1 in each text and kind in order of appearance."""
-    per = mentions.groupBy("src", "rec_id", "kind").agg(F.array_sort(F.collect_set(F.struct("start", "surface"))).alias("all"))
+    per = mentions.groupBy("src", "rec_id", "kind").agg(F.sort_array(F.collect_set(F.struct("start", "surface"))).alias("all"))
     return per.select("src", "rec_id", "kind", F.posexplode("all").alias("i", "m")).select("src", "rec_id", "kind", (F.col("i") + 1).alias("mention_no"), F.col("m.surface").alias("surface"))
 
 
 def sanitise(texts: DataFrame, mentions: DataFrame) -> DataFrame:
     """``texts`` (``src, rec_id, text``) with ``clean``, each mention replaced by its type in brackets, the rest as it is."""
-    per = mentions.groupBy("src", "rec_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias("m"))
+    per = mentions.groupBy("src", "rec_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("m"))
     parts = F.aggregate(
         F.coalesce("m", F.array().cast("array<struct<start:int,end:int,kind:string>>")),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("done")),
