@@ -42,6 +42,19 @@ _NUM = r"(\d+(?:[.,]\d+)?)"
 _AND = r"\.?\s*(?:,|and|und|et|y|e)?\s*"
 _START, _END = r"(?:^|[^\p{L}\d.,:])", r"(?:$|[^\p{L}\d])"
 
+# Shapes of lengths that state their unit; none looks ahead or behind, so SQL engines can read them, too.
+_ISO = r"^pt(?:(\d+(?:[.,]\d+)?)h)?(?:(\d+(?:[.,]\d+)?)m)?(?:(\d+(?:[.,]\d+)?)s)?$"
+_FRAMES = r"^\D*(\d+)\s*(?:frames?|sectors?|sektoren)\s*[(@,]?\s*(?:at\s+)?(\d+(?:[.,]\d+)?)\s*(?:/\s*s|fps|per\s+sec)"
+_SAMPLES = r"(\d+)\s*(?:samples?|smp)\s*(?:@|at|,)?\s*(\d+(?:[.,]\d+)?)\s*(k?)hz"
+_CLOCK = r"(?:^|[^\d:.,])((?:\d+:)?\d+:\d{2}(?:[.,]\d+)?)(?:$|[^\d:])"
+_GROUPED = rf"{_START}(\d{{1,3}}(?:[ ,.'’]\d{{3}})+)\s*{_MILLI}{_END}"
+_MILLIS = rf"{_START}{_NUM}\s*{_MILLI}{_END}"
+_HMS = rf"{_START}{_NUM}\s*{_HOUR}{_AND}(\d+)\s*{_MINUTE}?(?:{_AND}{_NUM}\s*{_SECOND}?)?{_END}"
+_HOURS = rf"{_START}{_NUM}\s*{_HOUR}{_END}"
+_MS = rf"{_START}(\d+)\s*{_MINUTE}{_AND}{_NUM}\s*{_SECOND}?{_END}"
+_MINUTES = rf"{_START}{_NUM}\s*{_MINUTE}{_END}"
+_SECONDS = rf"{_START}{_NUM}\s*{_SECOND}{_END}"
+
 
 def _number(text: Column) -> Column:
     return F.regexp_replace(text, ",", ".").try_cast("double")
@@ -65,34 +78,49 @@ def worded_seconds(text: Column) -> Column:
     and samples with a rate. Empty text states none.
     """
     t = F.lower(F.trim(F.regexp_replace(text, r"[\u00a0\u2000-\u200a\u202f\u3000]", " ")))
-    iso = r"^pt(?:(\d+(?:[.,]\d+)?)h)?(?:(\d+(?:[.,]\d+)?)m)?(?:(\d+(?:[.,]\d+)?)s)?$"
-    frames = r"^\D*(\d+)\s*(?:frames?|sectors?|sektoren)\s*[(@,]?\s*(?:at\s+)?(\d+(?:[.,]\d+)?)\s*(?:/\s*s|fps|per\s+sec)"
-    samples = r"(\d+)\s*(?:samples?|smp)\s*(?:@|at|,)?\s*(\d+(?:[.,]\d+)?)\s*(k?)hz"
-    clock = r"(?:^|[^\d:.,])((?:\d+:)?\d+:\d{2}(?:[.,]\d+)?)(?:$|[^\d:])"
-    grouped = rf"{_START}(\d{{1,3}}(?:[ ,.'’]\d{{3}})+)\s*{_MILLI}{_END}"
-    milli = rf"{_START}{_NUM}\s*{_MILLI}{_END}"
-    hms = rf"{_START}{_NUM}\s*{_HOUR}{_AND}(\d+)\s*{_MINUTE}?(?:{_AND}{_NUM}\s*{_SECOND}?)?{_END}"
-    hour = rf"{_START}{_NUM}\s*{_HOUR}{_END}"
-    ms = rf"{_START}(\d+)\s*{_MINUTE}{_AND}{_NUM}\s*{_SECOND}?{_END}"
-    minute = rf"{_START}{_NUM}\s*{_MINUTE}{_END}"
-    second = rf"{_START}{_NUM}\s*{_SECOND}{_END}"
     part = lambda p, g: F.coalesce(_part(t, p, g), F.lit(0.0))
     return (
         F.when(~t.rlike(r"\d") | t.rlike(r"^\d+(?:[.,]\d+)?$"), None)
-        .when(t.rlike(r"^pt\d") & t.rlike(iso), part(iso, 1) * 3600 + part(iso, 2) * 60 + part(iso, 3))
-        .when(t.rlike(frames), part(frames, 1) / _part(t, frames, 2))
-        .when(t.rlike(samples), part(samples, 1) / (_part(t, samples, 2) * F.when(F.regexp_extract(t, samples, 3) == "k", 1000.0).otherwise(1.0)))
-        .when(t.rlike(clock), clock_seconds(F.regexp_extract(t, clock, 1)))
-        .when(t.rlike(grouped), F.regexp_replace(F.regexp_extract(t, grouped, 1), r"\D", "").try_cast("double") / 1000)
-        .when(t.rlike(milli), part(milli, 1) / 1000)
-        .when(t.rlike(hms), part(hms, 1) * 3600 + part(hms, 2) * 60 + part(hms, 3))
-        .when(t.rlike(hour), part(hour, 1) * 3600)
-        .when(t.rlike(ms), part(ms, 1) * 60 + part(ms, 2))
-        .when(t.rlike(minute), part(minute, 1) * 60)
-        .when(t.rlike(second), part(second, 1))
+        .when(t.rlike(r"^pt\d") & t.rlike(_ISO), part(_ISO, 1) * 3600 + part(_ISO, 2) * 60 + part(_ISO, 3))
+        .when(t.rlike(_FRAMES), part(_FRAMES, 1) / _part(t, _FRAMES, 2))
+        .when(t.rlike(_SAMPLES), part(_SAMPLES, 1) / (_part(t, _SAMPLES, 2) * F.when(F.regexp_extract(t, _SAMPLES, 3) == "k", 1000.0).otherwise(1.0)))
+        .when(t.rlike(_CLOCK), clock_seconds(F.regexp_extract(t, _CLOCK, 1)))
+        .when(t.rlike(_GROUPED), F.regexp_replace(F.regexp_extract(t, _GROUPED, 1), r"\D", "").try_cast("double") / 1000)
+        .when(t.rlike(_MILLIS), part(_MILLIS, 1) / 1000)
+        .when(t.rlike(_HMS), part(_HMS, 1) * 3600 + part(_HMS, 2) * 60 + part(_HMS, 3))
+        .when(t.rlike(_HOURS), part(_HOURS, 1) * 3600)
+        .when(t.rlike(_MS), part(_MS, 1) * 60 + part(_MS, 2))
+        .when(t.rlike(_MINUTES), part(_MINUTES, 1) * 60)
+        .when(t.rlike(_SECONDS), part(_SECONDS, 1))
     )
 
 
+def worded_sql(column: str) -> str:
+    """:func:`worded_seconds` in DuckDB's SQL."""
+    t = f"lower(trim(regexp_replace({column}, '[\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]', ' ', 'g')))"
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    is_ = lambda p: f"regexp_matches({t}, {q(p)})"
+    n = lambda p, g: f"coalesce(try_cast(replace(regexp_extract({t}, {q(p)}, {g}), ',', '.') as double), 0)"
+    text = lambda p, g: f"regexp_extract({t}, {q(p)}, {g})"
+    plain = r"^(?:(\d+):)?(\d+):(\d+(?:[.,]\d+)?)$"
+    of_clock = lambda e: "+".join(f"{w}*coalesce(try_cast(replace(regexp_extract({e}, {q(plain)}, {g}), ',', '.') as double), 0)" for w, g in ((3600, 1), (60, 2), (1, 3)))
+    cases = [
+        (f"not regexp_matches({t}, '\\d') or " + is_(r"^\d+(?:[.,]\d+)?$"), "null"),
+        (is_(r"^pt\d") + " and " + is_(_ISO), f"{n(_ISO, 1)}*3600+{n(_ISO, 2)}*60+{n(_ISO, 3)}"),
+        (is_(_FRAMES), f"{n(_FRAMES, 1)}/{n(_FRAMES, 2)}"),
+        (is_(_SAMPLES), f"{n(_SAMPLES, 1)}/({n(_SAMPLES, 2)}*case when {text(_SAMPLES, 3)} = 'k' then 1000 else 1 end)"),
+        (is_(_CLOCK), of_clock(text(_CLOCK, 1))),
+        (is_(_GROUPED), f"try_cast(regexp_replace({text(_GROUPED, 1)}, '\\D', '', 'g') as double)/1000"),
+        (is_(_MILLIS), f"{n(_MILLIS, 1)}/1000"),
+        (is_(_HMS), f"{n(_HMS, 1)}*3600+{n(_HMS, 2)}*60+{n(_HMS, 3)}"),
+        (is_(_HOURS), f"{n(_HOURS, 1)}*3600"),
+        (is_(_MS), f"{n(_MS, 1)}*60+{n(_MS, 2)}"),
+        (is_(_MINUTES), f"{n(_MINUTES, 1)}*60"),
+        (is_(_SECONDS), n(_SECONDS, 1)),
+    ]
+    return "case " + " ".join(f"when {c} then {v}" for c, v in cases) + " end"
+
+
 def bare_seconds(number: Column, text: Column, unit: Column) -> Column:
     """Seconds of a bare number in a unit of :data:`UNITS`."""
     factor = F.element_at(F.create_map(*[x for k, v in UNITS.items() for x in (F.lit(k), F.lit(v))]), unit)
