@@ -109,25 +109,24 @@ def numbered_items(counts: DataFrame) -> DataFrame:
     return bucketed.withColumn("own", own).join(F.broadcast(offsets), "bucket").select("item", "c", (F.col("own") + F.col("before")).cast("int").alias("code"))
 
 
-def pair_counts(baskets: DataFrame, items: str) -> DataFrame:
+def pair_counts(baskets: DataFrame, key: str, items: str) -> DataFrame:
     """Rows ``(item_a, item_b, c_ab, c_a, c_b, n, lift, odds_ratio, log_odds)`` for items that share a basket, item_a < item_b by code point.
 
-    ``baskets`` has one row a basket and an array of items; nulls are ignored, an item counts once a basket. ``n`` is the number of
+    ``baskets`` has one row a basket with a key of its own and an array of items; nulls are ignored, an item counts once a basket. ``n`` is the number of
     baskets, also of those without items; ``odds_ratio`` has 0.5 added to each of the four cells. A basket of fewer than
     two items gives no pair; an empty table gives no row. Other columns are ignored.
 
     Plan: a pair that is in a third of all baskets leaves each task as one counted code, so no key is hot in the
     shuffle. The sort is Spark's external one and spills; no group is ever gathered.
     """
-    own = baskets.select(F.array_distinct(F.array_compact(F.col(items))).alias("items"))
+    own = baskets.select(F.col(key).alias("basket"), F.array_distinct(F.array_compact(F.col(items))).alias("items"))
     exploded = own.select(F.explode("items").alias("item"))
     vocabulary = numbered_items(exploded.groupBy("item").agg(F.count("*").alias("c")))
     codes = vocabulary.select("item", "code")
     if codes.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS:
         codes = F.broadcast(codes)
-    keyed = own.where(F.size("items") > 1).withColumn("basket", F.monotonically_increasing_id())
     lists = (
-        keyed.select("basket", F.explode("items").alias("item")).join(codes, "item").groupBy("basket").agg(F.sort_array(F.collect_list("code")).alias("codes")).select("codes")
+        own.where(F.size("items") > 1).select("basket", F.explode("items").alias("item")).join(codes, "item").groupBy("basket").agg(F.sort_array(F.collect_list("code")).alias("codes")).select("codes")
     )
     runs = lists.mapInArrow(_runs, "code long, n long")
     pairs = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merge, "code long, n long")

@@ -65,7 +65,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every two genres or styles that share a release, with counts and odds."""
-    return pair_counts(release_baskets(read(spark, d, "releases")), "items").select("item_a", "item_b", "c_ab", "c_a", "c_b", "n", F.round("odds_ratio", 6).alias("odds_ratio"))
+    return pair_counts(release_baskets(read(spark, d, "releases")), "id", "items").select("item_a", "item_b", "c_ab", "c_a", "c_b", "n", F.round("odds_ratio", 6).alias("odds_ratio"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
