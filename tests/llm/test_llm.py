@@ -142,12 +142,12 @@ def test_pair_counts_against_brute_force(spark, monkeypatch, run):
     df = spark.createDataFrame([(i, b, 1) for i, b in enumerate(baskets)], "id int, items array<string>, n int")
     sets = [set(x for x in b or [] if x is not None) for b in baskets]
     single, pair = Counter(x for s in sets for x in s), Counter(p for s in sets for p in itertools.combinations(sorted(s), 2))
-    got = {(r.item_a, r.item_b): r for r in cooccurrence.pair_counts(df, "i", "items").collect()}
+    got = {(r.item_a, r.item_b): r for r in cooccurrence.pair_counts(df, "id", "items").collect()}
     assert {k: (r.c_ab, r.c_a, r.c_b, r.n) for k, r in got.items()} == {(a, b): (n, single[a], single[b], len(baskets)) for (a, b), n in pair.items()}
     r = got["a", "b"]
     want = (r.c_ab + 0.5) * (r.n - r.c_a - r.c_b + r.c_ab + 0.5) / ((r.c_a - r.c_ab + 0.5) * (r.c_b - r.c_ab + 0.5))
     assert r.odds_ratio == pytest.approx(want) and r.log_odds == pytest.approx(math.log(want))
-    assert cooccurrence.pair_counts(df.limit(0), "i", "items").count() == 0
+    assert cooccurrence.pair_counts(df.limit(0), "id", "items").count() == 0
 
 
 def test_a_very_long_basket(spark):
