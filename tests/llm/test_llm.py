@@ -133,6 +133,24 @@ def test_videos_and_folders_are_linked(spark):
     assert linkage.link(linkage.video_rules(linkage.video_candidates(nothing, v.limit(0), feeds))).count() == 0
 
 
+def linked_folders(spark, releases, tracks, folders):
+    rel = spark.createDataFrame([(*r, 2000, None, None, 1) for r in releases], "id long, title string, artist_names string, year int, label_name string, catalog_number string, last_synced_at int")
+    trk = spark.createDataFrame([(i, r, str(i), t, None, None, "api") for i, (r, t) in enumerate(tracks)], "id long, release_id long, position string, title string, duration string, artist string, feed string")
+    f = spark.createDataFrame([(i, p, n, 1) for i, p, n in folders], "id long, path string, files array<string>, scanned_at int")
+    cat = linkage.catalogue(rel, trk.withColumn("recorded_at", F.expr("timestamp_ntz '2024-01-01 00:00:00'")))
+    return {(r["item"], r.entity) for r in linkage.link(linkage.folder_rules(linkage.folder_candidates(cat, f))).collect()}
+
+
+NINE = ["Amber Coast", "Brass Wheel", "Copper Tide", "Dusty Lamp", "Early Frost", "Faded Map", "Golden Thread", "Hidden Stair", "Iron Petal"]
+
+
+def test_a_title_word_that_is_an_artist_shuts_no_folder_out(spark):
+    # "amber" and "frost" are other artists' lead words
+    releases = [(1, "Nocturne", "Tovelin"), (2, "Else", "Amber"), (3, "More", "Frost")]
+    tracks = [(1, t) for t in NINE[:5]] + [(2, "Unlike"), (3, "Another")]
+    assert linked_folders(spark, releases, tracks, [(1, "/m/rip_1", [f"{i} - {t}.flac" for i, t in enumerate(NINE[:5], 1)])]) == {(1, 1)}
+
+
 # co-occurrence
 @pytest.mark.parametrize("run", [7, 4_000_000])
 def test_pair_counts_against_brute_force(spark, monkeypatch, run):
