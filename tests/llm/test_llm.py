@@ -151,6 +151,15 @@ def test_a_title_word_that_is_an_artist_shuts_no_folder_out(spark):
     assert linked_folders(spark, releases, tracks, [(1, "/m/rip_1", [f"{i} - {t}.flac" for i, t in enumerate(NINE[:5], 1)])]) == {(1, 1)}
 
 
+@pytest.mark.parametrize("rare", [0, 8])
+def test_any_titles_of_a_release_find_it(spark, monkeypatch, rare):
+    monkeypatch.setattr(linkage, "RARE_TITLE", rare)
+    tracks = [(1, t) for t in NINE] + [(2, "Quiet Field"), (3, "Quiet Field"), (3, "Low Road"), (3, "Last Call")]
+    folders = [(i, f"/m/rip_{i}", [f"{t}.flac" for t in own]) for i, own in enumerate(itertools.combinations(NINE, 5))]
+    got = linked_folders(spark, [(1, "Nocturne", "Tovelin"), (2, "Solo", "Masurek"), (3, "Triple", "Brandt")], tracks, [*folders, (900, "/m/single", ["Quiet Field.mp3"])])
+    assert got == {(i, 1) for i, _, _ in folders} | {(900, 2)}
+
+
 # co-occurrence
 @pytest.mark.parametrize("run", [7, 4_000_000])
 def test_pair_counts_against_brute_force(spark, monkeypatch, run):
