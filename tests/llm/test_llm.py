@@ -160,6 +160,22 @@ def test_any_titles_of_a_release_find_it(spark, monkeypatch, rare):
     assert got == {(i, 1) for i, _, _ in folders} | {(900, 2)}
 
 
+def test_blanks_astray_are_no_bar(spark):
+    # a blank lost in a title or an artist, one too many, and two errors in one of the two longest words
+    rel = spark.createDataFrame([(1, "Night Signals", 1999, "Tovelin Ensemble", None, None, 1), (2, "Island", 2004, "The Helodek Choir", None, None, 1)], "id long, title string, year int, artist_names string, label_name string, catalog_number string, last_synced_at int")
+    rows = [(10, 1, "A1", "Second Cinder"), (11, 1, "A2", "Sunflower"), (12, 1, "B1", "Windward Harbour Slowly"), (20, 2, "1", "Grey Meadow")]
+    trk = spark.createDataFrame([(*r, "4:00", None, "api") for r in rows], "id long, release_id long, position string, title string, duration string, artist string, feed string")
+    cat = linkage.catalogue(rel, trk.withColumn("recorded_at", F.expr("timestamp_ntz '2024-01-01 00:00:00'")))
+    titles = ["Tovelin Ensemble - SecondCinder", "TovelinEnsemble - Second Cinder", "Tovelin Ensemble - Sun flower", "Tovelin Ensemble - Wxndwaqd Harbour Slowly", "The HelodekChoir - Grey Meadow", "Tovelin Ensemble - Other Thing"]
+    v = spark.createDataFrame([(i, t, 241, "x", None, 1) for i, t in enumerate(titles)], "id long, title string, duration int, uploader string, tags array<string>, fetched_at int")
+    feeds = spark.createDataFrame([("api", "tracks", None)], "feed string, delivers string, note string")
+    got = {(r["item"], r.entity) for r in linkage.link(linkage.video_rules(linkage.video_candidates(cat, v, feeds))).collect()}
+    assert got == {(0, 10), (1, 10), (2, 11), (3, 12), (4, 20)}
+    f = spark.createDataFrame([(1, "/TheHelodekChoir - Island", ["01 - Rip.flac"], 1)], "id long, path string, files array<string>, scanned_at int")
+    found = {(r["item"], r.entity): r.m for r in linkage.folder_candidates(cat, f).collect()}
+    assert found == {(1, 2): 1.0}
+
+
 # co-occurrence
 @pytest.mark.parametrize("run", [7, 4_000_000])
 def test_pair_counts_against_brute_force(spark, monkeypatch, run):
