@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from platterkit.session import stash
 
-#: A span in more than this share of all texts reveals nobody.
+#: A name in this share of the different texts, or more, loses TERM_BITS and is no seed; one in half as many loses nothing.
 COMMON_SHARE = 0.02
 #: Words around a span are weighed if they occur beside spans in at least this share of the texts, but at least twice.
 CONTEXT_SHARE = 1e-4
@@ -101,10 +101,10 @@ _FIELDS = "kind string, start int, end int, surface string, given string, family
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["src", "rec_id", *(f.split()[0] for f in _FIELDS.split(", "))]
-    types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 7]
+    names = ["src", "rec_id", "copy", *(f.split()[0] for f in _FIELDS.split(", "))]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 7]
     for batch in batches:
-        rows = [(s, i, *c) for s, i, t in zip(*(batch.column(k).to_pylist() for k in range(3))) if t for c in candidates(t)]
+        rows = [(s, i, h, *c) for s, i, t, h in zip(*(batch.column(k).to_pylist() for k in range(4))) if t for c in candidates(t)]
         columns = list(zip(*rows)) if rows else [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
@@ -133,35 +133,40 @@ def disclosed_numbers(spans: DataFrame) -> DataFrame:
 def disclosed_names(spans: DataFrame, texts: DataFrame, artists: DataFrame, given_names: DataFrame) -> DataFrame:
     """The name candidates that reveal a private person."""
     names = spans.where("kind = 'name'")
-    total = texts.agg(F.count("*").alias("texts"))
-    # a surface in a share COMMON_SHARE of the texts: as many as a text has candidates, over that share, at most
-    common = names.groupBy("surface").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).where(F.col("n") > F.greatest(COMMON_SHARE * F.col("texts"), F.lit(3))).select("surface")
-    rare = names.join(F.broadcast(common), "surface", "left_anti")
+    total = texts.agg(F.count("*").alias("texts"), F.count_distinct("copy").alias("different"))
     full = F.concat_ws(" ", "given", "family")
-    uses = rare.groupBy("surface", "given", "family", "left", "right").agg(F.count("*").alias("n")).withColumn("name", full)
+    terms = ["surface", "given", "family", "left", "right"]
+    uses = names.groupBy(*terms, "copy").agg(F.count("*").alias("n")).groupBy(*terms).agg(F.sum("n").alias("n"), F.count("*").alias("texts_with")).withColumn("name", full)
+    # counted over different texts, so that copies don't weigh
+    common = uses.groupBy("surface").agg(F.sum("texts_with").alias("uses")).crossJoin(F.broadcast(total))
+    share = F.log2(2 * F.col("uses") / F.greatest(COMMON_SHARE * F.col("different"), F.lit(3)))
+    common = common.select("surface", (-TERM_BITS * F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0))).alias("common_bits"))
+    uses = uses.join(common, "surface")
     known = artists.select(F.col("name").alias("name"), F.lit(True).alias("artist")).where("name is not null").distinct()
     listed = given_names.select(F.col("name").alias("given"), F.lit(True).alias("listed")).where("given is not null").distinct()
     uses = uses.join(known, "name", "left").join(F.broadcast(listed), "given", "left")  # the list of given names doesn't grow
-    uses = uses.withColumn("s", F.when(F.col("listed") & F.col("artist").isNull(), F.col("n")).otherwise(F.lit(0)))
-    prior = uses.agg(F.greatest(F.least((F.sum("s") + 1) / (F.sum("n") + 2), F.lit(0.5)), F.lit(1e-4)).alias("prior"))
-    family = uses.groupBy("family").agg(F.sum("n").alias("fn"), F.sum("s").alias("fs"))
+    # a frequent name is scored like any, but is no evidence about others
+    uses = uses.withColumn("e", F.when(F.col("common_bits") > -TERM_BITS, F.col("n")).otherwise(F.lit(0)))
+    uses = uses.withColumn("s", F.when(F.col("listed") & F.col("artist").isNull(), F.col("e")).otherwise(F.lit(0)))
+    prior = uses.agg(F.greatest(F.least((F.sum("s") + 1) / (F.sum("e") + 2), F.lit(0.5)), F.lit(1e-4)).alias("prior"))
+    family = uses.groupBy("family").agg(F.sum("e").alias("fn"), F.sum("s").alias("fs"))
     base = uses.crossJoin(F.broadcast(prior)).crossJoin(F.broadcast(total)).join(family, "family")  # one number each
 
     def context(side: str) -> DataFrame:
         least = F.greatest(CONTEXT_SHARE * F.col("texts"), F.lit(2.0))
-        counts = uses.groupBy(side).agg(F.sum("n").alias(f"{side}_n"), F.sum("s").alias(f"{side}_s"))
-        return F.broadcast(counts.crossJoin(F.broadcast(total)).where(F.col(f"{side}_n") >= least).drop("texts"))  # at most candidates a text / CONTEXT_SHARE rows
+        counts = uses.groupBy(side).agg(F.sum("n").alias("all"), F.sum("e").alias(f"{side}_n"), F.sum("s").alias(f"{side}_s"))
+        return F.broadcast(counts.crossJoin(F.broadcast(total)).where(F.col("all") >= least).drop("texts", "different", "all"))  # at most candidates a text / CONTEXT_SHARE rows
 
     scored = base.join(context("left"), "left", "left").join(context("right"), "right", "left")
     # a use doesn't vouch for itself
-    own = lambda n, s: F.coalesce(_bits(F.col(n) - F.col("n"), F.col(s) - F.col("s"), F.col("prior")), F.lit(0.0))
+    own = lambda n, s: F.coalesce(_bits(F.col(n) - F.col("e"), F.col(s) - F.col("s"), F.col("prior")), F.lit(0.0))
     score = (
         F.log2(F.col("prior") / (1 - F.col("prior")))
         + own("fn", "fs") + own("left_n", "left_s") + own("right_n", "right_s")
-        + F.when(F.col("listed"), GIVEN_BITS).otherwise(0.0)
+        + F.when(F.col("listed"), GIVEN_BITS).otherwise(0.0) + F.col("common_bits")
     )
     good = scored.where("artist is null").withColumn("score", score).where("score > 0").select("surface", "left", "right", "score")
-    hits = rare.join(good, ["surface", "left", "right"])
+    hits = names.join(good, ["surface", "left", "right"])
     # of overlapping pairs ("Herr Thomas", "Thomas Weber") the one that reveals most stays
     pairs = hits.groupBy("src", "rec_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("rank"), "start", "end", "surface"))).alias("found"))
     kept = F.aggregate(
@@ -178,12 +183,12 @@ def find_mentions(texts: DataFrame, artists: DataFrame, given_names: DataFrame)
     ``texts`` has ``src, rec_id, text``. Kinds are name, email, phone, id and address. Null and empty texts have no mention; repeated rows give theirs
     once. A name whose two words are together the name of an artist is no private person. Whole texts are read.
 
-    Plan: one Arrow pass gives narrow candidates, written once; spans that are in many texts leave before anything is joined, counts are
+    Plan: one Arrow pass gives narrow candidates, written once; repeated spans are aggregated to their different uses before anything is joined, counts are
     aggregated partially, and only tables whose size is bounded by a share of the texts are broadcast. What is
     gathered by text are the few mentions of one description.
     """
-    own = texts.select("src", F.col("rec_id").cast("long"), F.col("text").cast("string")).where("rec_id is not null and text <> ''").distinct()
-    spans = stash(own.mapInArrow(_extract, f"src string, rec_id long, {_FIELDS}"))
+    own = texts.select("src", F.col("rec_id").cast("long"), F.col("text").cast("string")).where("rec_id is not null and text <> ''").distinct().withColumn("copy", F.xxhash64("text"))
+    spans = stash(own.mapInArrow(_extract, f"src string, rec_id long, copy long, {_FIELDS}"))
     fixed = spans.where("kind in ('email', 'address')").select("src", "rec_id", "kind", "start", "end", "surface")
     return fixed.unionByName(disclosed_numbers(spans)).unionByName(disclosed_names(spans, own, artists, given_names)).distinct()
 

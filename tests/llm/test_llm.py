@@ -74,6 +74,17 @@ def test_mentions(spark):
     assert privacy.find_mentions(df.limit(0), artists(spark), spark.createDataFrame([], "name string")).count() == 0
 
 
+def test_a_person_in_many_texts_is_found(spark):
+    # a shop's boilerplate in a third of the texts, as copies and in different texts, beside a hall that is named all over them
+    filler = [f"Recorded in {1950 + i % 60} at Oskar Hall, take {i}." for i in range(300)]
+    people = [f"My neighbour {g} {f} lent me the record, thank you!" for g, f in itertools.product(["Karl", "Julia", "Emil", "Rosa"], ["Lovrby", "Wexlier", "Castoretti"])]
+    shop = [f"Item {i}. Questions to our contact Emil Wexlier, he answers." for i in range(100)] + ["Write to Rosa Wexlier before noon."] * 60
+    df = spark.createDataFrame([("s", i, t) for i, t in enumerate(filler + people + shop)], "src string, rec_id long, text string")
+    given = spark.createDataFrame([("Karl",), ("Julia",), ("Emil",), ("Rosa",), ("Oskar",)], "name string")
+    found = Counter(r.surface for r in privacy.find_mentions(df, artists(spark), given).where("kind = 'name'").collect())
+    assert found["Emil Wexlier"] == 101 and found["Rosa Wexlier"] == 61 and not found["Oskar Hall"]
+
+
 # linkage
 def test_soft_logic_finds_the_optimum():
     # one item, two pairs drawn to 0.9 and 0.8 with weights 3 and 1: exclusivity leaves at most 1 for both
