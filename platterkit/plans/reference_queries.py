@@ -17,7 +17,7 @@ from platterkit.functions.similarity import levenshtein_similarity
 from platterkit.operators import detail, facets, layout, local_match, pending, resolve, scores, search, sync
 from platterkit.plans.fixture import NOW, catalog, sql
 from platterkit.schema import Catalog
-from platterkit.session import read
+from platterkit.session import read, stash
 from platterkit.streaming.sync_stream import stream_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,13 +217,22 @@ _PAIRS = """pairs as (select v.id video_id, t.id track_id, case when t.s > 0 and
 
 
 def _lists(c: Catalog) -> tuple[DataFrame, DataFrame]:
-    """Tracks and videos with seconds; track artists are left out, as the SQL has no kernel for them."""
+    """Tracks and videos for the ``fuzzy_*`` queries, as their SQL has them: titles in ASCII, no track artists."""
     plain = lambda x: F.regexp_replace(x, r"[^\x00-\x7f]", "?").alias(x)  # noqa: E731 - the SQL's edit distance counts bytes
     t = c.tracks.select("id", "release_id", "position", plain("title"), F.lit(None).cast("string").alias("artist"), text.parse_duration(F.col("duration")).alias("seconds"))
     v = c.videos.where("title is not null").select("id", "release_id", plain("title"), F.col("duration").cast("int").alias("seconds"), F.array().cast("array<string>").alias("chapters"), "description")
     return t, v
 
 
+def whole_lists(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    """Tracks and videos with seconds, titles as they are and each track's artist, the release's where a track has none."""
+    own = c.releases.select(F.col("id").alias("release_id"), "artist_names")
+    artist = F.coalesce(F.when(F.trim("artist") != "", F.col("artist")), "artist_names").alias("artist")
+    t = c.tracks.join(own, "release_id", "left").select("id", "release_id", "position", "title", artist, text.parse_duration(F.col("duration")).alias("seconds"))
+    v = c.videos.where("title is not null").select("id", "release_id", "title", F.col("duration").cast("int").alias("seconds"), F.array().cast("array<string>").alias("chapters"), "description")
+    return t, v
+
+
 def _scored(c: Catalog) -> DataFrame:
     return resolve.score_pairs(resolve.pairs_within(*_lists(c), ()).drop("raw_title"), levenshtein_similarity)
 
@@ -247,13 +256,13 @@ _cat(
 def resolve_weighted(spark: SparkSession, d: str) -> DataFrame:
     """Every video of the catalogue resolved with the weighted kernel and no model: what is ambiguous stays unrelated."""
     c = catalog(spark, d)
-    t, v = _lists(c)
+    t, v = (stash(x) for x in whole_lists(c))  # read several times
     rows = resolve.resolve(t, v, c.releases.select("id", "title", F.array("artist_names").alias("artists")))
     return rows.select("video_id", "track_id", F.round("fuzzy_score", 4).alias("fuzzy_score"), "video_type", "is_selected")
 
 
 _define("resolve_weighted", resolve_weighted, None)
-_cat("score_matrix", lambda c: resolve.score_matrix(*_lists(c), c.matches).select("video_id", "track_id", F.round("score", 4).alias("score"), "is_selected"), None)
+_cat("score_matrix", lambda c: resolve.score_matrix(*whole_lists(c), c.matches).select("video_id", "track_id", F.round("score", 4).alias("score"), "is_selected"), None)
 
 
 def local_library(spark: SparkSession, d: str) -> DataFrame:

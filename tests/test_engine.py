@@ -263,3 +263,18 @@ def test_stream_keeps_the_latest_row(spark, tmp_path):
 def test_levenshtein_similarity(spark):
     df = spark.createDataFrame([("abc", "abd"), ("", "")], "a string, b string")
     assert [round(r[0], 2) for r in df.select(levenshtein_similarity(F.col("a"), F.col("b"))).collect()] == [66.67, 100.0]
+
+
+def test_weighted_queries_read_titles_and_artists_as_they_are(spark):
+    from platterkit.plans import reference_queries
+    from platterkit.schema import Catalog
+
+    releases = spark.createDataFrame([(1, "Товелин")], "id long, artist_names string")
+    tracks = spark.createDataFrame([(10, 1, "A1", "Солёный дождь", "4:00", None), (11, 1, "A2", "Été", "3:00", "Zoë"), (12, 1, "A3", "Dub", "2:00", " ")], "id long, release_id long, position string, title string, duration string, artist string")
+    videos = spark.createDataFrame([(20, 1, "Солёный дождь", 240, None), (21, 1, "Été Zoë", 180, None), (22, 1, None, 1, None)], "id long, release_id long, title string, duration long, description string")
+    c = Catalog(releases, tracks=tracks, videos=videos)
+    t, v = reference_queries.whole_lists(c)
+    assert {r.id: r.artist for r in t.collect()} == {10: "Товелин", 11: "Zoë", 12: "Товелин"} and v.count() == 2
+    matches = spark.createDataFrame([], "track_id long, video_id long, is_selected int, llm_confidence double")
+    got = {(r.video_id, r.track_id): r.score for r in reference_queries.resolve.score_matrix(t, v, matches).collect()}
+    assert got[20, 10] == 1.0 and got[21, 11] == 1.0
