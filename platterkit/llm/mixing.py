@@ -18,12 +18,15 @@ from platterkit.session import stash
 PARTS = 1024
 
 
-def sized_texts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def sized_texts(documents: DataFrame, tokenizer: str = TOKENIZER, targets: DataFrame | None = None) -> DataFrame:
     """Rows ``(doc_id, source, n_tokens)``, one for each different text that has tokens.
 
-    A text that occurs under several ids is used under the least of them, so no text gets in more often than allowed. Null and
-    empty texts and rows without id or source are left out.
+    A text that occurs under several ids is used under the least of them, so no text gets in more often than allowed; with ``targets``
+    under the least whose source has a target, as sources without one take no part. Null and empty texts and rows without id or source are left out.
     """
+    if targets is not None:
+        aimed = targets.where("target_share > 0 and source is not null").select("source").distinct()
+        documents = documents.join(F.broadcast(aimed), "source", "left_semi")  # as many rows as targets
     rows = documents.where("doc_id is not null and source is not null and text <> ''").select("doc_id", "source", "text", F.md5("text").alias("h"))
     sized = with_tokens(rows, "text", tokenizer).groupBy("h").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("v"))
     return sized.select("v.doc_id", "v.source", "v.n_tokens").where("n_tokens > 0")

@@ -82,12 +82,14 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The mixture of documents by the target shares."""
-    return mix(sized_texts(read(spark, d, "documents")), read(spark, d, "mix_targets"))[0]
+    targets = read(spark, d, "mix_targets")
+    return mix(sized_texts(read(spark, d, "documents"), targets=targets), targets)[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares that the mixture reaches."""
-    return mix(sized_texts(read(spark, d, "documents")), read(spark, d, "mix_targets"))[1]
+    targets = read(spark, d, "mix_targets")
+    return mix(sized_texts(read(spark, d, "documents"), targets=targets), targets)[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

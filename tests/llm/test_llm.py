@@ -301,6 +301,16 @@ def test_copies_of_a_text_are_one(spark):
     assert {(r.doc_id, r.source) for r in mixing.sized_texts(df).collect()} == {(1, "b"), (3, "a")}
 
 
+def test_a_text_is_kept_for_the_source_that_has_a_target(spark, monkeypatch):
+    from platterkit.llm import queries
+
+    docs = spark.createDataFrame([(1, "none", "same"), (2, "a", "same"), (3, "a", "other"), (4, "b", "third")], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1), ("none", 0.0, 1)], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(queries, "read", lambda s, d, t: {"documents": docs, "mix_targets": targets}[t])
+    own = mixing.sized_texts(docs.where("source = 'a'")).agg(F.sum("n_tokens")).first()[0]
+    assert {r.source: r.source_tokens for r in queries.p9_shares(spark, "").collect()}["a"] == own
+
+
 # wrong encodings
 CLEAN = [
     "Größe und Übergänge klingen überraschend kräftig, außer auf Seite zwei — „Sehr schön“.", "L’époque rêvée : à réécouter l’été prochain, déjà.", "Está más cálida que la reedición, ¿verdad?",
