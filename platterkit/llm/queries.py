@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from platterkit.llm.canonical import look_alike_pairs
 from platterkit.llm.cooccurrence import pair_counts, release_baskets
-from platterkit.llm.linkage import all_words, catalogue, corrections, folder_rules, folder_words, link, pair_folders, pair_videos, video_rules, video_words
+from platterkit.llm.linkage import catalogue, folder_words, links, video_words
 from platterkit.llm.mixing import mix, sized_texts
 from platterkit.llm.mojibake import restore_texts
 from platterkit.llm.packing import pack_texts
 from platterkit.llm.privacy import find_mentions, numbered_mentions, sanitise
 from platterkit.llm.sql import ORACLES  # noqa: F401
 from platterkit.llm.tokens import with_tokens
-from platterkit.session import read, stash
+from platterkit.session import read
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,12 +50,8 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
 def p5_links(spark: SparkSession, d: str) -> DataFrame:
     """Videos paired with tracks and folders with releases, with confidences."""
     cat = catalogue(read(spark, d, "releases"), read(spark, d, "tracks"))
-    videos, folders = video_words(read(spark, d, "video_metadata")), folder_words(read(spark, d, "local_folders"))
-    fixes = stash(corrections(all_words(videos).unionByName(all_words(folders)), cat.vocabulary))
-    videos = link(video_rules(stash(pair_videos(cat, videos, read(spark, d, "feeds"), fixes))))
-    folders = link(folder_rules(stash(pair_folders(cat, folders, fixes))))
-    one = lambda src, df: df.select(F.lit(src).alias("src"), F.col("entity").alias("entity_id"), F.col("item").alias("item_id"), "confidence")
-    return one("video", videos).unionByName(one("folder", folders))
+    found = links(cat, video_words(read(spark, d, "video_metadata")), folder_words(read(spark, d, "local_folders")), read(spark, d, "feeds"))
+    return found.select(F.col("kind").alias("src"), F.col("entity").alias("entity_id"), F.col("item").alias("item_id"), "confidence")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -100,21 +100,48 @@ def test_soft_logic_finds_the_optimum():
     assert alone == pytest.approx([0.9, 0.8], abs=0.01)
 
 
+def test_blocks_against_brute_force():
+    rng = np.random.default_rng(5)
+    grid = [np.array(p) / 40 for p in itertools.product(range(41), repeat=2) if sum(p) <= 40]
+    for _ in range(60):
+        w, k, b = rng.uniform(0.1, 3, (2, 4)), rng.choice([-1.0, 1.0], (2, 4)), rng.choice([-1.0, -0.5, 0.0, 0.25, 0.75, 1.0], (2, 4))
+        pull, pulled = rng.choice([0.0, 2.0], 2), rng.uniform(0, 1, 2)
+        loss = lambda y: (w * np.maximum(0, k * y[:, None] + b)).sum() + (pull / 2 * (y - pulled) ** 2).sum()
+        y = softlogic.solve_blocks(np.array([0]), w, k, b, pull, pulled)
+        assert y.sum() <= 1 + 1e-6 and loss(y) <= min(map(loss, grid)) + 1e-6
+
+
 def test_links_draw_items_of_one_entity_together(spark):
     h = lambda up, bound, low: [(up, -1.0, bound), (low, 1.0, 0.0)]
-    rows = [(1, 7, h(3.0, 1.0, 0.2), 0.0), (2, 7, h(1.0, 0.3, 0.2), 0.0), (3, 8, h(1.0, 0.3, 0.2), 0.0), (4, 9, h(1.0, 1.0, 0.2), 0.1), (4, 10, h(1.0, 1.0, 0.2), 0.1)]
-    df = spark.createDataFrame(rows, "item long, entity long, hinges array<struct<w:double,k:double,b:double>>, tie double")
-    got = {(r.item, r.entity): r.y for r in softlogic.solve(df).collect()}
-    assert got[1, 7] > 0.9 and got[3, 8] == pytest.approx(0.3, abs=0.01) and got[2, 7] > 0.4
-    assert got[4, 9] + got[4, 10] <= 1.01
-    assert {(r.item, r.entity) for r in linkage.link(df).collect()} >= {(1, 7)}
+    rows = [("video", 1, 7, h(3.0, 1.0, 0.2)), ("video", 2, 7, h(1.0, 0.3, 0.2)), ("video", 3, 8, h(1.0, 0.3, 0.2)), ("video", 4, 10, h(1.0, 1.0, 0.2)), ("video", 4, 9, h(1.0, 1.0, 0.2)), ("folder", 2, 7, h(1.0, 0.3, 0.2))]
+    df = spark.createDataFrame(rows, "kind string, item long, entity long, hinges array<struct<w:double,k:double,b:double>>")
+    got = {(r["kind"], r["item"], r.entity): r.y for r in softlogic.solve(df).collect()}
+    # 3 max(0, 1 - a) + 0.2 a + max(0, 0.3 - b) + 0.2 b + 0.5 |a - b| has its least value at a = b = 1
+    assert got["video", 1, 7] == pytest.approx(1, abs=0.02) and got["video", 2, 7] == pytest.approx(1, abs=0.02)
+    assert got["video", 3, 8] == pytest.approx(0.3, abs=0.01) and got["folder", 2, 7] == pytest.approx(0.3, abs=0.01)
+    assert got["video", 4, 9] + got["video", 4, 10] <= 1.01
+    # entities that no rule tells apart are one
+    assert {(r["kind"], r["item"], r.entity) for r in linkage.link(df).collect()} == {("video", 1, 7), ("video", 2, 7), ("video", 4, 9)}
     assert linkage.link(df.limit(0)).count() == 0
 
 
 def test_typing_errors_are_traced(spark):
-    vocabulary = spark.createDataFrame([(w,) for w in ("garden", "signal", "rain", "orbit")], "word string")
-    words = spark.createDataFrame([(w,) for w in ("gaden", "singal", "gardden", "rain", "sinal", "ornit", "xyz", "1999", "ra")], "word string")
-    assert {tuple(r) for r in linkage.corrections(words, vocabulary).collect()} == {("gaden", "garden"), ("gardden", "garden"), ("singal", "signal"), ("sinal", "signal"), ("ornit", "orbit")}
+    vocabulary = spark.createDataFrame([("garden", 5), ("signal", 5), ("rain", 5), ("orbit", 5), ("late", 500), ("lat", 2), ("gate", 499)], "word string, n long")
+    words = spark.createDataFrame([(w,) for w in ("gaden", "singal", "gardden", "rain", "sinal", "ornit", "xyz", "1999", "ra", "lat", "gate")], "word string")
+    assert {tuple(r) for r in linkage.corrections(words, vocabulary).collect()} == {("gaden", "garden"), ("gardden", "garden"), ("singal", "signal"), ("sinal", "signal"), ("ornit", "orbit"), ("lat", "late")}
+
+
+VIDEO = "id long, title string, duration int, uploader string, tags array<string>, fetched_at int"
+FOLDER = "id long, path string, files array<string>, scanned_at int"
+
+
+def linked(spark, cat, v=None, f=None, feeds=None):
+    """Pairs (item, entity) of videos and of folders."""
+    feeds = feeds if feeds is not None else spark.createDataFrame([("api", "tracks", None)], "feed string, delivers string, note string")
+    v, f = v if v is not None else spark.createDataFrame([], VIDEO), f if f is not None else spark.createDataFrame([], FOLDER)
+    got = linkage.links(cat, linkage.video_words(v), linkage.folder_words(f), feeds).collect()
+    assert all(r.confidence > linkage.MATCH for r in got)
+    return [{(r["item"], r.entity) for r in got if r["kind"] == kind} for kind in ("video", "folder")]
 
 
 def test_videos_and_folders_are_linked(spark):
@@ -137,11 +164,10 @@ def test_videos_and_folders_are_linked(spark):
         "id long, path string, files array<string>, scanned_at int",
     )
     cat = linkage.catalogue(releases, tracks)
-    got = {(r["item"], r.entity) for r in linkage.link(linkage.video_rules(linkage.video_candidates(cat, v, feeds))).collect()}
-    assert got == {(1, 10), (2, 10), (4, 11), (9, 20)}
-    assert {(r["item"], r.entity) for r in linkage.link(linkage.folder_rules(linkage.folder_candidates(cat, f))).collect()} == {(1, 1), (2, 2)}
+    assert linked(spark, cat, v, f, feeds) == [{(1, 10), (2, 10), (4, 11), (9, 20)}, {(1, 1), (2, 2)}]
     nothing = linkage.catalogue(releases.limit(0), tracks.limit(0))
-    assert linkage.link(linkage.video_rules(linkage.video_candidates(nothing, v.limit(0), feeds))).count() == 0
+    assert linked(spark, nothing, v, f, feeds) == [set(), set()]
+    assert linked(spark, cat) == [set(), set()]
 
 
 def linked_folders(spark, releases, tracks, folders):
@@ -149,7 +175,7 @@ def linked_folders(spark, releases, tracks, folders):
     trk = spark.createDataFrame([(i, r, str(i), t, None, None, "api") for i, (r, t) in enumerate(tracks)], "id long, release_id long, position string, title string, duration string, artist string, feed string")
     f = spark.createDataFrame([(i, p, n, 1) for i, p, n in folders], "id long, path string, files array<string>, scanned_at int")
     cat = linkage.catalogue(rel, trk.withColumn("recorded_at", F.expr("timestamp_ntz '2024-01-01 00:00:00'")))
-    return {(r["item"], r.entity) for r in linkage.link(linkage.folder_rules(linkage.folder_candidates(cat, f))).collect()}
+    return linked(spark, cat, f=f)[1]
 
 
 NINE = ["Amber Coast", "Brass Wheel", "Copper Tide", "Dusty Lamp", "Early Frost", "Faded Map", "Golden Thread", "Hidden Stair", "Iron Petal"]
@@ -179,12 +205,41 @@ def test_blanks_astray_are_no_bar(spark):
     cat = linkage.catalogue(rel, trk.withColumn("recorded_at", F.expr("timestamp_ntz '2024-01-01 00:00:00'")))
     titles = ["Tovelin Ensemble - SecondCinder", "TovelinEnsemble - Second Cinder", "Tovelin Ensemble - Sun flower", "Tovelin Ensemble - Wxndwaqd Harbour Slowly", "The HelodekChoir - Grey Meadow", "Tovelin Ensemble - Other Thing"]
     v = spark.createDataFrame([(i, t, 241, "x", None, 1) for i, t in enumerate(titles)], "id long, title string, duration int, uploader string, tags array<string>, fetched_at int")
-    feeds = spark.createDataFrame([("api", "tracks", None)], "feed string, delivers string, note string")
-    got = {(r["item"], r.entity) for r in linkage.link(linkage.video_rules(linkage.video_candidates(cat, v, feeds))).collect()}
-    assert got == {(0, 10), (1, 10), (2, 11), (3, 12), (4, 20)}
-    f = spark.createDataFrame([(1, "/TheHelodekChoir - Island", ["01 - Rip.flac"], 1)], "id long, path string, files array<string>, scanned_at int")
-    found = {(r["item"], r.entity): r.m for r in linkage.folder_candidates(cat, f).collect()}
-    assert found == {(1, 2): 1.0}
+    f = spark.createDataFrame([(1, "/TheHelodekChoir - Island", ["01 - Rip.flac"], 1)], FOLDER)
+    assert linked(spark, cat, v)[0] == {(0, 10), (1, 10), (2, 11), (3, 12), (4, 20)}
+    folders = linkage.folder_words(f)
+    own = linkage.spelt(folders, linkage.spellings(cat, [folders]))
+    pairs = linkage.candidates(cat, linkage.spelt(linkage.video_words(v), linkage.spellings(cat, [linkage.video_words(v)])), own)[1]
+    assert {(r["item"], r.entity): r.m for r in linkage.pair_folders(cat, own, pairs).collect()} == {(1, 2): 1.0}
+
+
+def test_an_artist_with_many_tracks_is_split_by_two_words(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "HOT_LEAD", 3)
+    rel = spark.createDataFrame([(1, "Night Signals", 1999, "Tovelin", None, None, 1)], "id long, title string, year int, artist_names string, label_name string, catalog_number string, last_synced_at int")
+    rows = [(10, 1, "A1", "Second Cinder"), (11, 1, "A2", "Second Orbit"), (12, 1, "B1", "Window"), (13, 1, "B2", "Second Meadow of Cinder"), (14, 1, "B3", "Nocturne")]
+    trk = spark.createDataFrame([(*r, "4:00", None, "api") for r in rows], "id long, release_id long, position string, title string, duration string, artist string, feed string")
+    cat = linkage.catalogue(rel, trk.withColumn("recorded_at", F.expr("timestamp_ntz '2024-01-01 00:00:00'")))
+    titles = ["Tovelin - Second Cinder", "Tovelin - Secnd Orbit", "Window by Tovelin", "Tovelin - Second Meadow of Cinder", "Tovelin - Second"]
+    v = spark.createDataFrame([(i, t, 241, "x", None, 1) for i, t in enumerate(titles)], VIDEO)
+    f = spark.createDataFrame([(1, "/Tovelin - Night Signals", ["01 - Window.flac"], 1)], FOLDER)
+    assert linked(spark, cat, v, f) == [{(0, 10), (1, 11), (2, 12), (3, 13)}, {(1, 1)}]
+
+
+def test_lists_that_can_be_each_others_share_a_key(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "LONG_LIST", 12)
+    monkeypatch.setattr(linkage, "RARE_TITLE", 0)
+    rng = random.Random(4)
+    lists = {i: rng.sample(range(30), rng.choice([1, 2, 3, 5, 8, 11, 13, 20])) for i in range(160)}
+    df = Counter(h for own in lists.values() for h in own)
+    rows = spark.createDataFrame([(i, h, df[h], len(own)) for i, own in lists.items() for h in own], "key long, h long, df int, size int")
+    keys = {}
+    for r in linkage._list_keys(rows, "key", "size").collect():
+        keys.setdefault(r.k, set()).add(r.key)
+    met = {(a, b) for own in keys.values() for a in own for b in own}
+    for a, b in itertools.combinations(lists, 2):
+        both = len({*lists[a]} & {*lists[b]})
+        f, g = both / len(lists[a]), both / len(lists[b])
+        assert f + g - 0.9 <= linkage.MATCH or (a, b) in met, (lists[a], lists[b])
 
 
 # co-occurrence
