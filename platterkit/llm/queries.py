@@ -21,12 +21,9 @@ from platterkit.session import read
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose name or title looks the same but isn't the same string."""
-    one = lambda src, pairs: pairs.select(F.lit(src).alias("src"), "id_a", "id_b")
-    return (
-        one("artists", look_alike_pairs(read(spark, d, "artists"), "id", "name"))
-        .unionByName(one("tracks", look_alike_pairs(read(spark, d, "tracks"), "id", "title", "release_id")))
-        .unionByName(one("release_videos", look_alike_pairs(read(spark, d, "release_videos"), "id", "title", "release_id")))
-    )
+    one = lambda t, text, within: read(spark, d, t).select(F.lit(t).alias("src"), F.col("id"), F.col(text).alias("text"), within.cast("long").alias("within"))
+    rows = one("artists", "name", F.lit(0)).unionByName(one("tracks", "title", F.col("release_id"))).unionByName(one("release_videos", "title", F.col("release_id")))
+    return look_alike_pairs(rows, "id", "text", ["src", "within"]).select("src", "id_a", "id_b")
 
 
 def descriptions(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +85,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(sized_texts(read(spark, d, "documents"), targets=targets), targets)[1]
 
 
+def p9_mixture_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture measured in characters, which SQL can count, too."""
+    targets = read(spark, d, "mix_targets")
+    return mix(sized_texts(read(spark, d, "documents"), None, targets), targets)[0].withColumn("finish", F.round("finish", 2))
+
+
+def p9_shares_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mixture measured in characters reaches."""
+    targets = read(spark, d, "mix_targets")
+    shares = mix(sized_texts(read(spark, d, "documents"), None, targets), targets)[1]
+    return shares.select("source", "source_tokens", "used_tokens", F.round("actual_share", 8).alias("actual_share"), F.round("budget", 2).alias("budget"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold characters from decoding with the wrong encoding."""
     return restore_texts(read(spark, d, "documents").select("doc_id", "text"), "text", keep_text=False).where("garbled_runs > 0").select("doc_id").distinct()
@@ -109,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_packed": p8_packed,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_mixture_chars": p9_mixture_chars,
+    "p9_shares_chars": p9_shares_chars,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }

@@ -25,7 +25,10 @@ def test_canonical_forms(spark):
     got = {r.i: r.canonical for r in canonical.with_canonical(df, "text").collect()}
     assert [got[i] for i in range(len(same))] == list(same.values())
     assert got[99] is None and got[100] == LONG.strip()
-    different = ["Cafe", "cafe", "Café", "Cafe!", "Caffe"]
+    for odd, plain in {"ρoad ν": "poad v", "Օne": "One", "ıron": "iron", "Ꭲime": "Time", "Ӏnk": "Ink", "ό": "ó"}.items():
+        forms = [r.canonical for r in canonical.with_canonical(spark.createDataFrame([(odd,), (plain,)], "text string"), "text").collect()]
+        assert forms == [plain, plain]
+    different = ["Cafe", "cafe", "Café", "Cafe!", "Caffe", "Il", "II", "l1", "O", "0"]
     forms = {r.canonical for r in canonical.with_canonical(spark.createDataFrame([(s,) for s in different], "text string"), "text").collect()}
     assert len(forms) == len(different)
 
@@ -37,7 +40,7 @@ def test_look_alike_pairs_against_brute_force(spark):
     df = spark.createDataFrame(rows + rows[:30], "id long, w long, text string")
     form = {r.id: r.canonical for r in canonical.with_canonical(df.select("id", "text").distinct(), "text").collect()}
     want = {(a[0], b[0]) for a, b in itertools.product(rows, rows) if a[0] < b[0] and a[1] is not None and a[1] == b[1] and a[2] is not None and b[2] is not None and a[2] != b[2] and form[a[0]] == form[b[0]] != ""}
-    assert {tuple(r) for r in canonical.look_alike_pairs(df, "id", "text", "w").collect()} == want
+    assert {tuple(r) for r in canonical.look_alike_pairs(df, "id", "text", ["w"]).select("id_a", "id_b").collect()} == want
     assert canonical.look_alike_pairs(df.limit(0), "id", "text").count() == 0
 
 
@@ -231,7 +234,7 @@ def test_lists_that_can_be_each_others_share_a_key(spark, monkeypatch):
     rng = random.Random(4)
     lists = {i: rng.sample(range(30), rng.choice([1, 2, 3, 5, 8, 11, 13, 20])) for i in range(160)}
     df = Counter(h for own in lists.values() for h in own)
-    rows = spark.createDataFrame([(i, h, df[h], len(own)) for i, own in lists.items() for h in own], "key long, h long, df int, size int")
+    rows = spark.createDataFrame([(i, h, df[h], len(own), True) for i, own in lists.items() for h in own], "key long, h long, df int, size int, asked boolean")
     keys = {}
     for r in linkage._list_keys(rows, "key", "size").collect():
         keys.setdefault(r.k, set()).add(r.key)
@@ -331,24 +334,31 @@ def test_token_sizes(spark):
 
 
 def test_mixture(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "PARTS", 4)
+    monkeypatch.setattr(mixing, "PART_DIGITS", 1)
     rows = [(i, s, 10 + i % 7) for i, s in enumerate(["big"] * 600 + ["mid"] * 150 + ["small"] * 40 + ["other"] * 20)]
     sized = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
-    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 3), ("none", 0.0, 1), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
-    queue, shares = mixing.mix(sized, targets)
-    got = queue.collect()
-    total = sum(r.n_tokens for r in got)
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 3), ("none", 0.0, 1), (None, 0.1, 1), ("absent", 0.0001, 1)], "source string, target_share double, max_repeats int")
     own = {s: sum(n for _, x, n in rows if x == s) for s in ("big", "mid", "small")}
-    budget = min(1 * own["big"] / 0.5, 2 * own["mid"] / 0.3, 3 * own["small"] / 0.2)
-    assert 0 <= budget - total < 3 * 17
-    for r in shares.collect():
-        assert r.actual_share == pytest.approx(r.target_share, abs=0.02) and r.used_tokens == sum(x.n_tokens for x in got if x.source == r.source)
-    uses = Counter((r.source, r.doc_id) for r in got)
-    assert max(uses.values()) <= 3 and len({(r.doc_id, r.use_no) for r in got}) == len(got)
-    assert [r.finish for r in got] == sorted(r.finish for r in got)
-    half = mixing.mix(sized, targets, budget=500)[0].collect()
-    assert 450 <= sum(r.n_tokens for r in half) <= 500
+    cap = {s: k * own[s] for s, k in (("big", 1), ("mid", 2), ("small", 3))}
+    weight = {"big": 0.5, "mid": 0.3, "small": 0.2}
+    for kwargs, total in (({}, sum(own.values())), ({"size": 0.4}, 0.4 * sum(own.values())), ({"budget": 500}, 500), ({"size": 99.0}, sum(cap.values())), ({"strict": True}, min(cap[s] / weight[s] for s in own))):
+        queue, shares = mixing.mix(sized, targets, **kwargs)
+        got = queue.collect()
+        assert 0 <= total - sum(r.n_tokens for r in got) < 3 * 17
+        low, high = 0.0, 1e6  # the level, by halving
+        for _ in range(80):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(weight[s] * level, cap[s]) for s in own) < total - 1e-6 else (low, level)
+        for r in shares.collect():
+            used = sum(x.n_tokens for x in got if x.source == r.source)
+            want = min(weight[r.source] * high, cap[r.source]) if r.source in own else 0
+            assert r.used_tokens == used and -0.01 <= want - used < 17 and r.actual_share == pytest.approx(used / sum(x.n_tokens for x in got))
+            assert r.shortfall_tokens == pytest.approx(max(0, r.target_share * r.budget - used), abs=0.01)
+        uses = Counter((r.source, r.doc_id) for r in got)
+        assert max(uses.values()) <= 3 and len({(r.doc_id, r.use_no) for r in got}) == len(got)
+        assert [r.finish for r in got] == sorted(r.finish for r in got)
     assert mixing.mix(sized.limit(0), targets)[0].count() == 0
+    assert [r.used_tokens for r in mixing.mix(sized.limit(0), targets)[1].collect()] == [0] * 4
 
 
 def test_copies_of_a_text_are_one(spark):
