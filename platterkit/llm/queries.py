@@ -12,7 +12,7 @@ from platterkit.llm.cooccurrence import pair_counts, release_baskets
 from platterkit.llm.linkage import catalogue, folder_words, links, video_words
 from platterkit.llm.mixing import mix, sized_texts
 from platterkit.llm.mojibake import restore_texts
-from platterkit.llm.packing import pack_texts
+from platterkit.llm.packing import pack_texts, packing_report
 from platterkit.llm.privacy import find_mentions, numbered_mentions, sanitise
 from platterkit.llm.sql import ORACLES  # noqa: F401
 from platterkit.llm.tokens import with_tokens
@@ -73,6 +73,11 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(sized, "doc_id", "n_tokens", read(spark, d, "pack_sizes"))
 
 
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers of each capacity are used, and of how many the number is proven the fewest."""
+    return packing_report(p8_packed(spark, d))
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The mixture of documents by the target shares."""
     targets = read(spark, d, "mix_targets")
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p8_packed": p8_packed,
+    "p8_report": p8_report,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
     "p9_mixture_chars": p9_mixture_chars,

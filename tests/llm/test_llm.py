@@ -293,13 +293,26 @@ def fewest(sizes, capacity):
     return best
 
 
-def test_packing_is_optimal_on_small_blocks():
+@pytest.mark.parametrize("limits", [packing.LIMITS, packing.EXACT])
+def test_packing_is_optimal_on_small_blocks(limits):
     rng = random.Random(11)
-    for _ in range(60):
+    for _ in range(80):
         sizes = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 10))]
-        bins = packing.pack(np.array(sizes), 60)
+        bins, proven = packing.pack(np.array(sizes), 60, limits)
         assert sorted(x for b in bins for x in b) == sorted(sizes) and all(sum(b) <= 60 for b in bins)
-        assert len(bins) == fewest(sorted(sizes, reverse=True), 60)
+        assert len(bins) == fewest(sorted(sizes, reverse=True), 60) >= packing.fewest(np.array(sizes), 60)
+        assert proven or limits is packing.LIMITS
+    assert packing.pack(np.array([], dtype=int), 60, limits) == ([], True)
+
+
+def test_a_cut_search_still_fills_greedily():
+    # 3000 texts of one token: one step is far from enough for a container, and no deep recursion is needed
+    sizes = np.array([1] * 3000 + [900, 901, 950])
+    left = packing._Sizes(sizes)
+    found, whole = packing.completions(left, 100, 100, packing.Limits(1, 8, 10))
+    assert found[0][0] == 0 and len(found[0][1]) == 100 and not whole and sum(left.counts) == len(sizes)
+    bins, proven = packing.pack(sizes, 1000, packing.Limits(1, 8, 10))
+    assert proven and len(bins) == 6 and sum(map(len, bins)) == len(sizes)
 
 
 def test_packed_texts(spark):
@@ -307,8 +320,13 @@ def test_packed_texts(spark):
     sizes = {i: rng.choice([1, 5, 90, 100, 101, 250, 999]) for i in range(400)}
     df = spark.createDataFrame([(i, n, "x") for i, n in sizes.items()] + [(1, sizes[1], "x"), (500, 0, "x"), (501, None, "x"), (None, 5, "x")], "id long, n long, container string")
     caps = spark.createDataFrame([("c100", 100), ("c999", 999), ("bad", 0), (None, 5), ("null", None)], "pack_name string, capacity_tokens int")
-    for block in (50, 8192):
-        rows = packing.pack_texts(df, "id", "n", caps, block).collect()
+    every, few = sizes, {i: sizes[i] for i in range(12)}
+    for block, limits in ((50, packing.LIMITS), (8192, packing.LIMITS), (None, packing.EXACT)):
+        sizes = few if limits is packing.EXACT else every
+        out = packing.pack_texts(df.where("id < 12 or id >= 500") if sizes is few else df, "id", "n", caps, block, limits)
+        rows = out.collect()
+        report = {r.pack_name: r for r in packing.packing_report(out).collect()}
+        assert {k: (r.containers, r.tokens) for k, r in report.items()} == {k: (len({r.container for r in rows if r.pack_name == k}), sum(sizes.values())) for k in ("c100", "c999")}
         for name, cap in (("c100", 100), ("c999", 999)):
             own = [r for r in rows if r.pack_name == name]
             load, pieces = Counter(), {}
