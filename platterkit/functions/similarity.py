@@ -123,3 +123,10 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     """100 times one minus the edit distance over the longer length; a scorer that stays in the JVM."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest > 0, 100.0 * (1 - F.levenshtein(a, b) / longest)).otherwise(100.0)
+
+
+def word_similarity(a: Column, b: Column) -> Column:
+    """100 times the shared share of both texts' different words, without regard to case; 0 if neither has words. A scorer that stays in the JVM."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
+    every = F.size(F.array_union(words(a), words(b)))
+    return F.when(every > 0, 100.0 * F.size(F.array_intersect(words(a), words(b))) / every).otherwise(0.0)

@@ -64,6 +64,11 @@ def assign_files(tracks: DataFrame, files: DataFrame) -> DataFrame:
     return pairs.groupBy("release_id").applyInPandas(greedy, "release_id long, track_id long, file string, score double")
 
 
+def matched_folders(releases: DataFrame) -> DataFrame:
+    """One row ``n``: how many releases have a confident local folder."""
+    return releases.agg(F.count("local_folder_path").alias("n"))
+
+
 def match_library(releases: DataFrame, tracks: DataFrame, folders: DataFrame, threshold: float = CONFIDENT) -> tuple[DataFrame, DataFrame]:
     """Each release's best folder, and the files given to tracks of releases whose folder is confident. folders: ``path, files``."""
     best = best_folder(score_folders(releases, folders))

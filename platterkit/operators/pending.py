@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from platterkit.operators.search import active
 from platterkit.schema import Catalog
 
+# Fixed value: why a video whose fetch failed is unrelated.
 FETCH_FAILED = "metadata fetch failed"
 
 

@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 
 from platterkit.functions.similarity import weighted_similarity
 from platterkit.functions.text import denoise, format_duration, has_content
+from platterkit.session import stash
 
+# The score of a sure match, its least distance to the next, the deviation of lengths that rules a pair out, and words that titles repeat.
 CONFIDENT, MARGIN, DEVIANCE, TERMS = 0.8, 0.05, 0.2, ("Original Mix",)
+#: Parts over which the tracks of a release are spread to meet its videos.
+SPREAD = 4
 Similarity = Callable[[Column, Column], Column]
+TRACKLIST = "array<struct<id:bigint,position:string,title:string,artist:string,seconds:int>>"
 
 
 def gap(track: Column, video: Column) -> Column:
@@ -44,13 +49,12 @@ def score_pairs(pairs: DataFrame, similarity: Similarity = weighted_similarity,
 def best_two(scored: DataFrame, video: str = "video_id", track: str = "track_id") -> DataFrame:
     """Rows ``(<video>, best, best_score, runner_up)``: ties go to the earlier track, a best of 0 is none, a missing runner-up is 0.
 
-    An aggregation keeps the two best of each video, so no window has to sort all pairs.
+    A track counts once for a video. Plan: windows that keep only the first two rows of a video are cut down before their shuffle and hold no more than these.
     """
-    key = F.struct((-F.col("score")).alias("neg"), F.col(track).alias("t"))
-    top = scored.groupBy(video).agg(F.min(key).alias("a"), F.slice(F.array_sort(F.collect_list(key)), 1, 2).alias("two"))
-    second = F.get("two", F.lit(1))
-    best = -F.col("a.neg")
-    return top.select(video, F.when(best > 0, F.col("a.t")).alias("best"), best.alias("best_score"), F.coalesce(-second["neg"], F.lit(0.0)).alias("runner_up"))
+    rank = F.row_number().over(W.partitionBy(video).orderBy(F.desc("score"), track))
+    two = scored.select(video, F.col(track).alias("t"), "score", rank.alias("r")).where("r <= 2")
+    best = F.max(F.when(F.col("r") == 1, F.col("score")))
+    return two.groupBy(video).agg(F.max(F.when((F.col("r") == 1) & (F.col("score") > 0), F.col("t"))).alias("best"), best.alias("best_score"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("score"))), F.lit(0.0)).alias("runner_up"))
 
 
 def is_confident(threshold: float = CONFIDENT, margin: float = MARGIN) -> Column:
@@ -59,18 +63,28 @@ def is_confident(threshold: float = CONFIDENT, margin: float = MARGIN) -> Column
 
 
 def pairs_within(tracks: DataFrame, videos: DataFrame, terms: Sequence[str] = TERMS) -> DataFrame:
-    """All pairs of tracks and videos of a release, track titles without the terms; the key is the release, whose lists are short."""
+    """All pairs of tracks and videos of a release, track titles without the terms.
+
+    Tracks of releases without a video, such as an archive of loose sides, are left out before anything is computed of them. A release with many of both is a hot key, so its
+    tracks are spread over SPREAD parts, to each of which its videos go.
+    """
+    tracks = tracks.join(videos.select("release_id").distinct(), "release_id", "left_semi")
     t = tracks.select("release_id", F.col("id").alias("track_id"), F.col("title").alias("raw_title"), denoise(F.col("title"), terms=terms).alias("track_title"), F.col("artist").alias("track_artist"), F.col("seconds").alias("track_seconds"), "position")
     v = videos.select("release_id", F.col("id").alias("video_id"), F.col("title").alias("video_title"), F.col("seconds").alias("video_seconds"))
-    return t.join(v, "release_id")
+    t = t.withColumn("__part", F.pmod(F.xxhash64("track_id"), F.lit(SPREAD)).cast("int"))
+    v = v.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return t.join(v, ["release_id", "__part"]).drop("__part")
 
 
-def prompt(tracklist: Column, title: Column, seconds: Column, chapters: Column, description: Column) -> Column:
-    """What a model is asked about one video."""
-    lines = F.array_join(F.transform(tracklist, lambda t: F.concat_ws(" ", t["position"], t["title"], F.concat(F.lit("("), format_duration(t["seconds"]), F.lit(")")))), "\n")
+def prompt(release: Column, artists: Column, tracklist: Column, title: Column, seconds: Column, chapters: Column, description: Column) -> Column:
+    """What a model is asked about one video: the record with its artists, its tracks, each with its own artist or the record's, and what is known of the video."""
+    names = F.array_join(F.coalesce(artists, F.array().cast("array<string>")), ", ")
+    by = lambda t: F.concat(F.lit("by "), F.when(F.coalesce(t["artist"], F.lit("")) != "", t["artist"]).otherwise(names))
+    place = lambda t: F.when(F.coalesce(t["position"], F.lit("")) != "", t["position"]).otherwise("?")
+    lines = F.array_join(F.transform(F.coalesce(tracklist, F.array().cast(TRACKLIST)), lambda t: F.concat_ws(" ", place(t), t["title"], by(t), F.concat(F.lit("("), format_duration(t["seconds"]), F.lit(")")))), "\n")
     return F.concat(
-        F.lit("Tracks of a record:\n"), lines, F.lit("\n\nVideo: "), F.coalesce(title, F.lit("")), F.lit("\nLength: "), format_duration(seconds), F.lit("\nChapters: "),
-        F.coalesce(chapters, F.lit(0)).cast("string"), F.lit("\nDescription: "), F.coalesce(F.left(description, F.lit(300)), F.lit("")),
+        F.lit("Record: "), F.coalesce(release, F.lit("")), F.lit(" by "), names, F.lit("\nTracks:\n"), lines, F.lit("\n\nVideo: "), F.coalesce(title, F.lit("")), F.lit("\nLength: "), format_duration(seconds), F.lit("\nChapters: "),
+        F.coalesce(chapters, F.lit(0)).cast("string"), F.lit("\nDescription: "), F.translate(F.coalesce(F.left(description, F.lit(300)), F.lit("")), "\n", " "),
         F.lit('\n\nReply in JSON: {"classification": "full_track, compilation_or_mix or unrelated", "matched_track_position": position or null, "confidence": 0 to 1, "reasoning": "short"}'),
     )
 
@@ -97,6 +111,7 @@ def resolve(
     listed = videos.select("release_id", F.col("id").alias("video_id"), F.col("title").alias("video_title"), F.col("seconds").alias("video_seconds"), "chapters", "description")
     raw = listed.join(best_two(score_pairs(pairs, similarity)), "video_id", "left").fillna(0.0, ["best_score", "runner_up"])
     raw = raw.withColumn("route", F.when(F.lit(force_model), "model").when(is_confident(threshold, margin), "sure").when(F.col("best").isNull(), "none").otherwise("retry"))
+    raw = stash(raw)  # the scores are taken once, all that follows reads them
     # once more without the words an uploader repeats
     names = releases.select(F.col("id").alias("release_id"), F.concat(F.array("title"), F.coalesce("artists", F.array().cast("array<string>"))).alias("names"))
     retry = raw.where("route = 'retry'").join(names, "release_id", "left").withColumn("bare", denoise(F.col("video_title"), F.coalesce("names", F.array().cast("array<string>")), terms))
@@ -113,7 +128,7 @@ def resolve(
             "video_title": F.when(tried, F.col("bare")).otherwise(F.col("video_title")),
         }
     )
-    second = second.withColumn("route", F.when(tried & is_confident(threshold, margin), "sure").otherwise("model"))
+    second = stash(second.withColumn("route", F.when(tried & is_confident(threshold, margin), "sure").otherwise("model")))
     columns = [*keep, "chapters", "description", "best", "best_score", "route"]
     routed = raw.where("route <> 'retry'").select(*columns).unionByName(second.select(*columns))
     place = tracks.select(F.col("id").alias("best"), F.col("position").alias("best_position"))
@@ -124,22 +139,23 @@ def resolve(
         F.when(F.col("route") == "sure", "full_track").otherwise("unrelated").alias("video_type"), "best_position", blank("double").alias("llm_confidence"), blank("string").alias("llm_reasoning"), F.lit(0).alias("late"),
     )
     open_ = routed.where("route = 'model'")
-    asked = _ask(open_, tracks, classify, similarity, margin)
+    asked = _ask(open_, tracks, releases, classify, similarity, margin)
     return select_matches(sure.unionByName(asked))
 
 
-def _ask(open_: DataFrame, tracks: DataFrame, classify, similarity: Similarity, margin: float) -> DataFrame:
+def _ask(open_: DataFrame, tracks: DataFrame, releases: DataFrame, classify, similarity: Similarity, margin: float) -> DataFrame:
     """The ambiguous videos with the model's verdict, which is overruled where it names a track that scores clearly below the best."""
     none = open_.select("video_id").limit(0).select("video_id", *[F.lit(None).cast("string").alias(c) for c in ("classification", "position", "reasoning")], F.lit(None).cast("double").alias("confidence"))
     if classify is None:
         verdicts = none
     else:
-        lists = tracks.groupBy("release_id").agg(F.array_sort(F.collect_list(F.struct("id", "position", "title", "seconds"))).alias("tracklist"))
-        asked = open_.join(lists, "release_id", "left").select("video_id", prompt(F.col("tracklist"), F.col("video_title"), F.col("video_seconds"), F.size("chapters"), F.col("description")).alias("prompt"))
+        lists = tracks.join(open_.select("release_id").distinct(), "release_id", "left_semi").groupBy("release_id").agg(F.array_sort(F.collect_list(F.struct("id", "position", "title", "artist", F.col("seconds").cast("int").alias("seconds")))).alias("tracklist"))
+        own = releases.select(F.col("id").alias("release_id"), F.col("title").alias("release_title"), "artists")
+        asked = open_.join(lists, "release_id", "left").join(own, "release_id", "left").select("video_id", prompt(F.col("release_title"), F.col("artists"), F.col("tracklist"), F.col("video_title"), F.col("video_seconds"), F.size("chapters"), F.col("description")).alias("prompt"))
         verdicts = classify(asked).select("video_id", "classification", "position", "confidence", "reasoning")
     rows = open_.join(verdicts, "video_id", "left")
     # of equal positions in a release the last track counts
-    at = tracks.groupBy("release_id", "position").agg(F.max(F.struct("id", "title", "artist", "seconds")).alias("claim"))
+    at = tracks.where("position <> ''").groupBy("release_id", "position").agg(F.max(F.struct("id", "title", "artist", "seconds")).alias("claim"))
     claimed = rows.join(at, ["release_id", "position"], "left")
     scored = score_pairs(
         claimed.where("claim is not null").select("video_id", F.col("claim.title").alias("track_title"), F.col("claim.artist").alias("track_artist"), F.col("claim.seconds").alias("track_seconds"), "video_title", "video_seconds"),

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from platterkit.functions.music import bpm_band
 from platterkit.functions.text import contains_folded, nocase, strip_disambiguation
 from platterkit.schema import Catalog
+from platterkit.session import stash
 
+# Names of orders.
 SORTS = ("date_added_desc", "date_added_asc", "title_asc", "year_desc", "year_asc", "artist_asc", "label_asc")
 
 
@@ -72,9 +74,14 @@ def filter_releases(
     return out
 
 
-def artist_text(cat: Catalog) -> DataFrame:
-    """Rows ``(id, artist_names)``: names joined by commas in order of artist id, without disambiguation numbers."""
-    named = cat.release_artists.join(cat.artists, F.col("artist_id") == cat.artists["id"]).select(F.col("release_id").alias("rid"), "artist_id", "name")
+def _within(rows: DataFrame, ids: DataFrame | None, key: str = "release_id") -> DataFrame:
+    """Rows of some releases (column ``id``, a page at most), or all."""
+    return rows if ids is None else rows.join(F.broadcast(ids.select(F.col("id").alias(key))), key, "left_semi")
+
+
+def artist_text(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
+    """Rows ``(id, artist_names)``: names joined by commas in order of artist id, without disambiguation numbers; of all releases or of a page's ``ids``."""
+    named = _within(cat.release_artists, ids).join(cat.artists, F.col("artist_id") == cat.artists["id"]).select(F.col("release_id").alias("rid"), "artist_id", "name")
     joined = named.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("artist_id", "name"))).alias("all"))
     return joined.select(F.col("rid").alias("id"), strip_disambiguation(F.array_join(F.transform("all", lambda x: x["name"]), ", ")).alias("artist_names"))
 
@@ -85,14 +92,18 @@ def first_name(bridge: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return named.groupBy("release_id").agg(F.min(F.struct(nocase(F.col("name")).alias("k"), "name"))["name"].alias("first_name")).withColumnRenamed("release_id", "id")
 
 
-def progress_counts(cat: Catalog) -> DataFrame:
-    """Rows ``(id, track_count, matched_count, analyzed_count, processed)`` of releases that have tracks or videos."""
-    matched = cat.matches.where("is_selected = 1").groupBy("track_id").agg(F.count("*").alias("m"))
-    per_track = cat.tracks.join(matched, F.col("track_id") == F.col("id"), "left")
+def progress_counts(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
+    """Rows ``(id, track_count, matched_count, analyzed_count, processed)`` of releases that have tracks or videos, of all or of a page's ``ids``."""
+    tracks = _within(cat.tracks, ids)
+    selected = cat.matches.where("is_selected = 1").select("track_id")
+    if ids is not None:
+        selected = selected.join(tracks.select(F.col("id").alias("track_id")), "track_id", "left_semi")
+    matched = selected.groupBy("track_id").agg(F.count("*").alias("m"))
+    per_track = tracks.join(matched, F.col("track_id") == F.col("id"), "left")
     counts = per_track.groupBy("release_id").agg(
         F.count("*").alias("track_count"), F.coalesce(F.sum("m"), F.lit(0)).alias("matched_count"), F.count("analyzed_at").alias("analyzed_count")
     )
-    open_videos = cat.videos.groupBy("release_id").agg((F.count(F.when(F.col("video_type").isNull(), 1)) == 0).alias("processed"))
+    open_videos = _within(cat.videos, ids).groupBy("release_id").agg((F.count(F.when(F.col("video_type").isNull(), 1)) == 0).alias("processed"))
     return counts.join(open_videos, "release_id", "full").withColumnRenamed("release_id", "id")
 
 
@@ -122,7 +133,8 @@ def order(cat: Catalog, rows: DataFrame, sort: str = "date_added_desc") -> DataF
 def list_releases(cat: Catalog, sort: str = "date_added_desc", limit: int | None = 48, offset: int = 0, **filters) -> DataFrame:
     """One page of release summaries: id, title, year, cover, artist_names, genres and progress counts with their statuses.
 
-    The page is cut first, so names and counts are joined to at most ``limit`` releases; their order is kept in ``place``.
+    The page is cut first and written once; its ids, at most ``limit``, are broadcast to the tables of artists, tracks and videos before
+    anything of these is aggregated. Without a limit names and counts are those of all releases.
     """
     found = order(cat, filter_releases(cat, **filters), sort)
     if offset:
@@ -131,10 +143,14 @@ def list_releases(cat: Catalog, sort: str = "date_added_desc", limit: int | None
         found = found.limit(limit)
     page = found.select("id", "title", "year", "cover_image_url", "genres", "date_added")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    rows = page.join(artist_text(cat), "id", "left").join(progress_counts(cat), "id", "left")
+    ids = None
+    if limit is not None:
+        page = stash(page.withColumn("place", F.monotonically_increasing_id()))  # one partition in order; read five times
+        ids = page.select("id")
+    rows = page.join(artist_text(cat, ids), "id", "left").join(progress_counts(cat, ids), "id", "left")
     rows = rows.select(
         "id", "title", "year", "cover_image_url", F.coalesce("artist_names", F.lit("")).alias("artist_names"), F.coalesce("genres", F.array().cast("array<string>")).alias("genres"),
-        "date_added", zero("track_count"), zero("matched_count"), zero("analyzed_count"), F.coalesce("processed", F.lit(True)).alias("matching_processed"),
+        "date_added", *(["place"] if limit is not None else []), zero("track_count"), zero("matched_count"), zero("analyzed_count"), F.coalesce("processed", F.lit(True)).alias("matching_processed"),
     )
     rows = rows.withColumns(
         {
@@ -142,7 +158,7 @@ def list_releases(cat: Catalog, sort: str = "date_added_desc", limit: int | None
             "analysis_status": availability_status(F.col("analyzed_count"), F.col("matched_count"), F.col("track_count")),
         }
     )
-    return order(cat, rows, sort)
+    return order(cat, rows, sort) if limit is None else rows.orderBy("place").drop("place")
 
 
 def count_releases(cat: Catalog, **filters) -> DataFrame:

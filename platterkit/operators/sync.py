@@ -73,9 +73,21 @@ def first_per_url(videos: DataFrame) -> DataFrame:
     return dedupe_first(videos, ["release_id", "url"], [F.col("place")])
 
 
+#: Buckets of releases that are numbered side by side.
+NUMBER_BUCKETS = 1024
+
+
 def numbered(rows: DataFrame, start: int) -> DataFrame:
-    """Rows with new ids from ``start`` on, unique but not dense (a partition number and a place in it)."""
-    return rows.withColumn("id", F.monotonically_increasing_id() + start)
+    """Rows (with ``release_id, place``) with new ids from ``start`` on, dense, in order of a hash bucket, release and place.
+
+    An id depends on the rows alone, so a task that is run again gives the same ones. Each bucket is numbered for itself, and the buckets' counts give the offsets.
+    """
+    bucket = F.pmod(F.xxhash64("release_id"), F.lit(NUMBER_BUCKETS)).cast("int")
+    placed = rows.withColumn("__b", bucket)
+    counts = placed.groupBy("__b").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # NUMBER_BUCKETS rows
+    own = F.row_number().over(W.partitionBy("__b").orderBy("release_id", "place"))
+    return placed.withColumn("__n", own).join(F.broadcast(counts.select("__b", before.alias("__before"))), "__b").withColumn("id", F.col("__n") + F.col("__before") - 1 + start).drop("__b", "__n", "__before")
 
 
 def soft_delete_missing(releases: DataFrame, seen: DataFrame, now: str) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
+import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,23 +32,26 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where neither that setting nor a checkpoint
-    directory exists (tests on one machine) a temporary folder is made.
-    """
+    """``df`` with its lineage cut by a checkpoint in the shared folder, the session's ``spark.checkpoint.dir``."""
     _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def _shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables. Only a session whose tasks are threads of this process makes one of its own where none is set; a cluster must name it."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="platterkit-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and re.fullmatch(r"local(\[.*\])?", context.master):
+            folder = tempfile.mkdtemp(prefix="platterkit-")
+        if not folder:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning = threading.Lock()  # the setting is the session's: one table at a time is written under it
 
 
 def stash(df: DataFrame) -> DataFrame:
@@ -56,12 +62,13 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     # the plan runs this once, so its shuffle files can go as soon as the table is written
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    with _cleaning:
+        before = spark.conf.get(_CLEANUP, "false")
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(_CLEANUP, before)
 
     def remove() -> None:
         with contextlib.suppress(Exception):
@@ -72,6 +79,15 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets go of what steps before have left: Spark frees broadcasts and shuffle files only once the driver's collectors find that nothing refers to them.
+
+    For the end of a large step of an operator that has many.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from platterkit.schema import TABLES, Catalog
 
@@ -42,6 +44,29 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
     return max(done, default=None)
 
 
+def migrate(spark: SparkSession, root: str, now_tables: dict[str, StructType] = TABLES) -> list[str]:
+    """Creates what a catalogue lacks, in the order of ``now_tables``, and returns what it did, ``create <table>`` or ``add <table>.<column>``.
+
+    A table that isn't there is created empty, a column that isn't there is null in old rows; everything else stays. The changed
+    catalogue is a new version; where nothing is lacking, none is written, so the step can be repeated.
+    """
+    at = latest_version(spark, root)
+    done, tables = [], {}
+    for name, schema in now_tables.items():
+        path = f"{root}/v{at}/{name}"
+        if at is None or not _exists(spark, path):
+            done.append(f"create {name}")
+            tables[name] = spark.createDataFrame([], schema)
+            continue
+        old = spark.read.parquet(path)
+        lacking = [f for f in schema if f.name not in old.columns]
+        done += [f"add {name}.{f.name}" for f in lacking]
+        tables[name] = old.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in lacking])
+    if done:
+        save_catalog(Catalog(**tables), root)
+    return done
+
+
 def register(cat: Catalog) -> None:
     """Makes the tables known to SQL under their names."""
     for name, df in cat.tables().items():

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from platterkit.schema import CHAPTER, RELEASE_DETAIL
@@ -34,6 +34,20 @@ def _mapped(df: DataFrame, schema: StructType, one: Callable[[Any], dict[str, An
     return df.mapInPandas(run, schema)
 
 
+def collection_keys(spark: SparkSession, pages: int, page: Callable[[int], list[tuple[int, str]]]) -> DataFrame:
+    """Rows ``(id, date_added)`` of a paged scan of the remote collection: pages 1 to ``pages`` are asked for inside the executors, each once.
+
+    A page that fails fails the scan, as an incomplete one would remove releases.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for n in pdf["id"]:
+                yield pd.DataFrame(list(page(int(n))), columns=["id", "date_added"], dtype=object)
+
+    return spark.range(1, pages + 1, numPartitions=max(1, min(pages, 1000))).mapInPandas(run, "id long, date_added string")
+
+
 def fetch_releases(keys: DataFrame, fetch: Callable[[int], dict[str, Any]]) -> DataFrame:
     """Nested records for a table of release ids (column ``id``); a release whose fetch raises has only id and error.
 
@@ -72,16 +86,18 @@ def fetch_video_metadata(videos: DataFrame, extract: Callable[[str], dict[str, A
 
 
 def classify(prompts: DataFrame, call: Callable[[str], str]) -> DataFrame:
-    """A model's verdict for each prompt (columns ``video_id, prompt``): the JSON reply, of a list its first object; all null if anything fails."""
+    """A model's verdict for each prompt (columns ``video_id, prompt``): the JSON reply, of a list its first object; all null if anything fails.
+
+    A reply without classification means unrelated, one without confidence 0.
+    """
 
     def one(row: Any) -> dict[str, Any]:
         try:
             reply = json.loads(call(row.prompt))
-            reply = reply[0] if isinstance(reply, list) else reply
-            confidence = reply.get("confidence")
+            reply = (reply[0] if reply else {}) if isinstance(reply, list) else reply
             return {
-                "video_id": int(row.video_id), "classification": reply["classification"], "position": reply.get("matched_track_position"),
-                "confidence": float(confidence) if confidence is not None else None, "reasoning": reply.get("reasoning"),
+                "video_id": int(row.video_id), "classification": reply.get("classification", "unrelated"), "position": reply.get("matched_track_position"),
+                "confidence": float(reply.get("confidence", 0.0)), "reasoning": reply.get("reasoning"),
             }
         except Exception:  # noqa: BLE001
             return {"video_id": int(row.video_id)}
