@@ -1,10 +1,10 @@
 """Lengths recorded in different units, brought to seconds (problem 1).
 
 A length that states its unit (a clock reading, wording, an ISO-8601 duration) is read by itself. A bare number is in
-the unit of its feed. That unit comes from the feed's note; where the note is silent, the records decide through the
-identity that binds the columns: number x unit = length. The length is known from records of the same release and
-title that state it, and from the distribution of all stated lengths. The unit with the least log residual is taken, and a
-feed for which two units fit alike is flagged as not unique.
+the unit of its feed. The units of all feeds are fitted through the identity that binds the columns: number x unit = length, where a track's and
+a video's length of the same release and title are one. The combination of units with the least log residuals is found by turns: feeds whose
+unit is settled give lengths to the fit of the others. A feed's note, where it states a unit, goes before its residuals, but a note that
+they contradict is flagged, as is a feed for which two units fit alike; a feed whose residuals change at a date has a unit for each period.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platterkit.session import stash
+
 #: Units a bare number may be in, with the seconds in one of it; clock is minutes, a full stop, two digits of seconds.
 UNITS: dict[str, float] = {
     "millisecond": 0.001,
@@ -31,8 +33,16 @@ UNITS: dict[str, float] = {
 }
 #: Pseudo-observations that the distribution of stated lengths weighs against the linked records.
 PRIOR_WEIGHT = 10.0
-#: A feed's unit is unique if the second best unit's mean log residual is worse by this much.
+#: A unit is unique if the second best unit's mean log residual is worse by this much. By so much a note has to fit worse than the residuals' unit to be contradicted by them.
 UNIQUE_MARGIN = 0.25
+#: Links to known lengths from which a month's residuals may say that it has another unit than its feed.
+MONTH_LINKS = 20
+#: Microseconds of a month, on average.
+MONTH_US = 2_629_746_000_000
+#: Log residual beyond which a link counts as wrong, as for namesakes.
+WORST = 1.5
+#: Share of a feed's numbers by which a rule on their digits holds.
+DIGIT_SHARE = 0.01
 
 _HOUR = r"(?:h|hrs?|hours?|std|stunden?|heures?|horas?|ore|ora)"
 _MINUTE = r"(?:m|mins?|minutes?|minuten|minutos?|minut[oiy]|′|'|’)"
@@ -42,7 +52,7 @@ _NUM = r"(\d+(?:[.,]\d+)?)"
 _AND = r"\.?\s*(?:,|and|und|et|y|e)?\s*"
 _START, _END = r"(?:^|[^\p{L}\d.,:])", r"(?:$|[^\p{L}\d])"
 
-# Shapes of lengths that state their unit; none looks ahead or behind, so SQL engines can read them, too.
+# Shapes of lengths that state their unit.
 _ISO = r"^pt(?:(\d+(?:[.,]\d+)?)h)?(?:(\d+(?:[.,]\d+)?)m)?(?:(\d+(?:[.,]\d+)?)s)?$"
 _FRAMES = r"^\D*(\d+)\s*(?:frames?|sectors?|sektoren)\s*[(@,]?\s*(?:at\s+)?(\d+(?:[.,]\d+)?)\s*(?:/\s*s|fps|per\s+sec)"
 _SAMPLES = r"(\d+)\s*(?:samples?|smp)\s*(?:@|at|,)?\s*(\d+(?:[.,]\d+)?)\s*(k?)hz"
@@ -95,32 +105,6 @@ def worded_seconds(text: Column) -> Column:
     )
 
 
-def worded_sql(column: str) -> str:
-    """:func:`worded_seconds` in DuckDB's SQL."""
-    t = f"lower(trim(regexp_replace({column}, '[\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]', ' ', 'g')))"
-    q = lambda p: "'" + p.replace("'", "''") + "'"
-    is_ = lambda p: f"regexp_matches({t}, {q(p)})"
-    n = lambda p, g: f"coalesce(try_cast(replace(regexp_extract({t}, {q(p)}, {g}), ',', '.') as double), 0)"
-    text = lambda p, g: f"regexp_extract({t}, {q(p)}, {g})"
-    plain = r"^(?:(\d+):)?(\d+):(\d+(?:[.,]\d+)?)$"
-    of_clock = lambda e: "+".join(f"{w}*coalesce(try_cast(replace(regexp_extract({e}, {q(plain)}, {g}), ',', '.') as double), 0)" for w, g in ((3600, 1), (60, 2), (1, 3)))
-    cases = [
-        (f"not regexp_matches({t}, '\\d') or " + is_(r"^\d+(?:[.,]\d+)?$"), "null"),
-        (is_(r"^pt\d") + " and " + is_(_ISO), f"{n(_ISO, 1)}*3600+{n(_ISO, 2)}*60+{n(_ISO, 3)}"),
-        (is_(_FRAMES), f"{n(_FRAMES, 1)}/{n(_FRAMES, 2)}"),
-        (is_(_SAMPLES), f"{n(_SAMPLES, 1)}/({n(_SAMPLES, 2)}*case when {text(_SAMPLES, 3)} = 'k' then 1000 else 1 end)"),
-        (is_(_CLOCK), of_clock(text(_CLOCK, 1))),
-        (is_(_GROUPED), f"try_cast(regexp_replace({text(_GROUPED, 1)}, '\\D', '', 'g') as double)/1000"),
-        (is_(_MILLIS), f"{n(_MILLIS, 1)}/1000"),
-        (is_(_HMS), f"{n(_HMS, 1)}*3600+{n(_HMS, 2)}*60+{n(_HMS, 3)}"),
-        (is_(_HOURS), f"{n(_HOURS, 1)}*3600"),
-        (is_(_MS), f"{n(_MS, 1)}*60+{n(_MS, 2)}"),
-        (is_(_MINUTES), f"{n(_MINUTES, 1)}*60"),
-        (is_(_SECONDS), n(_SECONDS, 1)),
-    ]
-    return "case " + " ".join(f"when {c} then {v}" for c, v in cases) + " end"
-
-
 def bare_seconds(number: Column, text: Column, unit: Column) -> Column:
     """Seconds of a bare number in a unit of :data:`UNITS`."""
     factor = F.element_at(F.create_map(*[x for k, v in UNITS.items() for x in (F.lit(k), F.lit(v))]), unit)
@@ -251,95 +235,130 @@ def _common_seconds() -> Column:
     return F.when(F.col("rest") == ":", part(0) * 60 + part(1)).otherwise(part(0) * 3600 + part(1) * 60 + part(2))
 
 
-def _once(value: Column, name: str) -> Column:
-    """Keeps the rows in which ``value`` isn't null, evaluating it once (a filter on it would evaluate it again)."""
-    return F.explode(F.array_compact(F.array(value))).alias(name)
-
+def _typed(tracks: DataFrame, videos: DataFrame) -> DataFrame:
+    """Rows ``(src, rec_id, k, feed, at_us, common, stated, number, fraction)``, one a record with a length, read once: ``stated`` are seconds that
+    the text states with their unit, ``number`` is a bare number and ``fraction`` the two digits behind its point, if it has one."""
+    records = _records(tracks, videos)
+    bare, common = _is_bare(), _is_common()
+    # one struct that is made in a step of its own, as filters and sums over its parts would evaluate each part again
+    read = F.struct(
+        common.alias("common"), F.when(common, _common_seconds()).when(~bare, worded_seconds(F.col("text"))).alias("stated"), F.when(bare, _bare_number()).alias("number"),
+        F.when(bare & (F.col("rest") != ""), F.rpad(F.regexp_extract("text", r"[.,](\d{1,2})", 1), 2, "0").try_cast("int")).alias("fraction"),
+    )
+    rows = records.select("src", "rec_id", "k", "feed", "at_us", F.explode(F.array(read)).alias("r"))
+    return stash(rows.select("src", "rec_id", "k", "feed", "at_us", "r.*").where("stated > 0 or number > 0"))
 
-def infer_units(records: DataFrame, silent: DataFrame) -> DataFrame:
-    """Rows ``(src, feed, unit, runner_up, margin, is_unique)`` for feeds whose note states no unit.
 
-    For each candidate unit the mean absolute log residual is taken of number x unit against the mean length that
-    records of the same release and title state, with the feed's median number against the median of all stated
-    lengths as a prior of fixed weight. A feed in whose numbers digits above .59 follow the point can't be in ``clock``,
-    one whose numbers are whole can't be in ``clock`` or ``minute``. A feed without bare numbers gives no row.
+def _costs(of: DataFrame, known: DataFrame, typical: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows ``(*keys, unit, cost, n)``: the mean absolute log residual of each unit for bare numbers ``(*keys, k, x, fraction)`` against known lengths ``(k, length)``.
 
-    Plan: stated lengths are aggregated by a 64-bit key of release and title before they meet the bare numbers of the
-    silent feeds, both sides two narrow columns; everything after is a few rows a feed.
+    The median number against the median of all stated lengths is a prior of fixed weight. Digits rule units out: numbers with digits above .59 aren't in
+    ``clock``, whole numbers not in ``clock`` or ``minute``, and decimals that stay below .60 are in ``clock`` rather than ``minute`` and no frames.
     """
-    stated = F.when(_is_common(), _common_seconds()).when(~_is_bare(), worded_seconds(F.col("text")))
-    length = records.where("k is not null").select("k", _once(F.log(F.nullif(F.greatest(stated, F.lit(0.0)), F.lit(0.0))), "length"))
-    known = length.groupBy("k").agg(F.avg("length").alias("length"))
-    bare = records.where(_is_bare()).join(F.broadcast(silent.select("src", "feed").distinct()), ["src", "feed"])  # the table of feeds doesn't grow
-    bare = bare.select("src", "feed", F.log(F.nullif(_bare_number(), F.lit(0.0))).alias("x"), "k", (F.regexp_extract("text", r"[.,](\d\d)", 1).try_cast("int") > 59).alias("beyond"), (F.col("rest") != "").alias("decimal"))
     units = F.explode(F.array(*[F.struct(F.lit(k).alias("unit"), F.log(F.lit(v)).alias("factor")) for k, v in UNITS.items()]))
     linked = (
-        bare.join(known, "k").select("src", "feed", (F.col("x") - F.col("length")).alias("r")).select("src", "feed", "r", units.alias("u"))
-        .groupBy("src", "feed", "u.unit").agg(F.avg(F.least(F.abs(F.col("r") + F.col("u.factor")), F.lit(1.5))).alias("gap"), F.count("*").alias("n"))
+        of.join(known, "k").select(*keys, (F.col("x") - F.col("length")).alias("r")).select(*keys, "r", units.alias("u"))
+        .groupBy(*keys, "u.unit").agg(F.avg(F.least(F.abs(F.col("r") + F.col("u.factor")), F.lit(WORST))).alias("gap"), F.count("*").alias("n"))
     )
-    typical = known.agg(F.percentile_approx("length", 0.5, 1000).alias("typical"))
-    shape = bare.groupBy("src", "feed").agg(F.percentile_approx("x", 0.5, 1000).alias("x"), F.avg(F.coalesce(F.col("beyond"), F.lit(False)).cast("double")).alias("beyond"), F.avg(F.col("decimal").cast("double")).alias("decimal"))
-    prior = shape.crossJoin(F.broadcast(typical)).select("src", "feed", "beyond", "decimal", (F.col("x") - F.col("typical")).alias("r"), units.alias("u"))  # one number
-    costs = (
-        prior.join(linked.select("src", "feed", "unit", "gap", "n"), (F.col("u.unit") == linked["unit"]) & (prior["src"] == linked["src"]) & (prior["feed"] == linked["feed"]), "left")
-        .select(
-            prior["src"],
-            prior["feed"],
-            F.col("u.unit").alias("unit"),
-            (
-                (F.coalesce("gap", F.lit(0.0)) * F.coalesce("n", F.lit(0)) + PRIOR_WEIGHT * F.coalesce(F.abs(F.col("r") + F.col("u.factor")), F.lit(0.0)))
-                / (F.coalesce("n", F.lit(0)) + PRIOR_WEIGHT)
-                + F.when((F.col("u.unit") == "clock") & ((F.col("beyond") > 0.01) | (F.col("decimal") < 0.5)), 10.0)
-                .when((F.col("u.unit") == "minute") & ((F.col("beyond") <= 0.01) | (F.col("decimal") < 0.5)), 5.0)
-                .when(F.col("u.unit").startswith("frame_") & (F.col("decimal") > 0.5), 5.0)
-                .otherwise(0.0)
-            ).alias("cost"),
-        )
-    )
-    ranked = costs.groupBy("src", "feed").agg(F.sort_array(F.collect_list(F.struct("cost", "unit"))).alias("c"))
-    margin = F.get("c", F.lit(1))["cost"] - F.get("c", F.lit(0))["cost"]
-    return ranked.select(
-        "src", "feed", F.get("c", F.lit(0))["unit"].alias("unit"), F.get("c", F.lit(1))["unit"].alias("runner_up"), margin.alias("margin"), (margin >= UNIQUE_MARGIN).alias("is_unique")
-    )
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    shape = of.groupBy(*keys).agg(F.percentile_approx("x", 0.5, 1000).alias("x"), share(F.col("fraction") > 59).alias("beyond"), share(F.col("fraction").isNotNull()).alias("decimal"))
+    prior = shape.crossJoin(F.broadcast(typical)).select(*keys, "beyond", "decimal", (F.col("x") - F.col("typical")).alias("r"), units.alias("u")).select(*keys, "beyond", "decimal", "r", "u.*")  # one number
+    n, gap = F.coalesce("n", F.lit(0)), F.coalesce("gap", F.lit(0.0))
+    low, whole = F.col("beyond") <= DIGIT_SHARE, F.col("decimal") < 0.5
+    out = F.when(F.col("unit") == "clock", ~low | whole).when(F.col("unit") == "minute", low | whole).when(F.startswith("unit", F.lit("frame_")), ~whole).otherwise(False)
+    cost = (gap * n + PRIOR_WEIGHT * F.coalesce(F.abs(F.col("r") + F.col("factor")), F.lit(0.0))) / (n + PRIOR_WEIGHT)
+    rows = prior.join(linked, [*keys, "unit"], "left")  # as many rows as feeds, months and units
+    return rows.select(*keys, "unit", cost.alias("cost"), n.alias("n"), out.alias("out"))
+
+
+def _ranked(costs: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows ``(*keys, c, best, runner_up, margin, n, cost)``: the units in order, those that digits rule out last; as many as there are units are gathered."""
+    ranked = costs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("out", "cost", "unit", "n"))).alias("c"))
+    first, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
+    margin = F.when(second["out"] & ~first["out"], WORST).otherwise(second["cost"] - first["cost"])
+    return ranked.select(*keys, "c", first["unit"].alias("best"), second["unit"].alias("runner_up"), margin.alias("margin"), first["n"].alias("n"), first["cost"].alias("cost"))
+
+
+def fit_units(typed: DataFrame, noted: DataFrame) -> DataFrame:
+    """Rows ``(src, feed, start_us, end_us, unit, unit_from, runner_up, margin, is_unique, agrees)``: the units of all feeds and their periods.
+
+    ``typed`` are records of :func:`_typed`, ``noted`` the periods of :func:`note_units`. Lengths are known from records that state them; the feeds with a note add theirs for the fit
+    of the silent ones. ``unit_from`` is note or residuals; ``margin`` is how much worse, in mean log residual, the best other unit fits; ``agrees`` is false where the residuals prefer
+    another unit than the note's by UNIQUE_MARGIN. Units that digits rule out come last. A silent feed is fitted by months as well: a month with MONTH_LINKS links
+    whose best unit beats the feed's by UNIQUE_MARGIN has that unit. A feed without bare numbers keeps its note; a silent one gives no row.
+
+    Plan: known lengths are aggregated by a 64-bit key of release and title before they meet the bare numbers, both sides narrow columns;
+    everything after is a few rows a feed and month.
+    """
+    feeds = noted.groupBy("src", "feed").agg(F.collect_list(F.struct("start_us", "end_us", "unit")).alias("periods"), F.max("unit").isNull().alias("silent"))
+    bare = typed.where("number > 0").join(F.broadcast(feeds), ["src", "feed"])  # the table of feeds doesn't grow
+    bare = bare.withColumn("p", _held(F.col("periods"))).select("src", "feed", "k", "at_us", "number", "fraction", "silent", F.col("p.start_us").alias("start_us"), F.col("p.end_us").alias("end_us"), F.col("p.unit").alias("unit"))
+    said = typed.where("stated > 0").select("k", F.log("stated").alias("length"))
+    typical = said.agg(F.percentile_approx("length", 0.5, 1000).alias("typical"))
+    mean = lambda df: df.where("k is not null").groupBy("k").agg(F.avg("length").alias("length"))
+    keys = ["src", "feed", "start", "month"]
+    rows = bare.select("src", "feed", F.coalesce("start_us", F.lit(-1)).alias("start"), "silent", "unit", "k", F.log("number").alias("x"), "number", "fraction", F.floor(F.col("at_us") / MONTH_US).cast("long").alias("at_month"))
+    # first what a note covers, as a whole, against lengths that others state
+    told = _ranked(_costs(rows.where("not silent").withColumn("month", F.lit(-1).cast("long")), mean(said), typical, keys), keys).drop("month")
+    cost_of = lambda c, unit: F.get(F.filter(c, lambda x: x["unit"] == unit), F.lit(0))["cost"]
+    by_note = noted.where("unit is not null").withColumn("start", F.coalesce("start_us", F.lit(-1))).join(told, ["src", "feed", "start"], "left").select(
+        "src", "feed", "start", "start_us", "end_us", "unit", F.lit("note").alias("unit_from"), F.when(F.col("best") == F.col("unit"), F.col("runner_up")).otherwise(F.col("best")).alias("runner_up"),
+        F.when(F.col("best") == F.col("unit"), F.col("margin")).otherwise(F.col("cost") - cost_of("c", F.col("unit"))).alias("margin"),
+    ).withColumns({"is_unique": F.lit(True), "agrees": F.coalesce(F.col("margin") > -UNIQUE_MARGIN, F.lit(True))})
+    # then the silent feeds, as wholes and by months, against these lengths and those of the feeds whose note isn't contradicted
+    trusted = F.broadcast(by_note.where("agrees").select("src", "feed", "start"))  # a few rows a feed
+    settled = rows.where("unit is not null").join(trusted, ["src", "feed", "start"], "left_semi").select("k", F.log(F.nullif(_seconds_in(F.col("number"), F.col("fraction"), F.col("unit")), F.lit(0.0))).alias("length")).where("length is not null")
+    wide = rows.where("silent").withColumn("month", F.explode(F.array(F.lit(-1).cast("long"), F.coalesce("at_month", F.lit(-2)))))
+    best = _ranked(_costs(wide, mean(said.unionByName(settled)), typical, keys), keys)
+    whole = best.where("month = -1").drop("month")
+    quiet = noted.where("unit is null").select("src", "feed").distinct().join(whole, ["src", "feed"])
+    months = best.where("month >= 0").join(whole.select("src", "feed", F.col("best").alias("of_feed")), ["src", "feed"])
+    turned = (F.col("best") != F.col("of_feed")) & (F.col("n") >= MONTH_LINKS) & (cost_of("c", F.col("of_feed")) - F.col("cost") >= UNIQUE_MARGIN)
+    other = months.where(turned).select("src", "feed", (F.col("month") * MONTH_US).alias("start_us"), ((F.col("month") + 1) * MONTH_US).alias("end_us"), F.col("best").alias("unit"), "runner_up", "margin")
+    found = other.unionByName(quiet.select("src", "feed", F.lit(None).cast("long").alias("start_us"), F.lit(None).cast("long").alias("end_us"), F.col("best").alias("unit"), "runner_up", "margin"))
+    found = found.select("src", "feed", "start_us", "end_us", "unit", F.lit("residuals").alias("unit_from"), "runner_up", "margin", (F.col("margin") >= UNIQUE_MARGIN).alias("is_unique"), F.lit(True).alias("agrees"))
+    return by_note.drop("start").unionByName(found)
+
+
+def _held(periods: Column) -> Column:
+    """The narrowest of a feed's periods that holds the record's instant."""
+    there = F.filter(periods, lambda p: (p["start_us"].isNull() | (p["start_us"] <= F.col("at_us"))) & (p["end_us"].isNull() | (p["end_us"] > F.col("at_us"))))
+    return F.get(F.array_sort(there, lambda a, b: F.when(a["start_us"].isNotNull() & b["start_us"].isNull(), -1).when(a["start_us"].isNull() & b["start_us"].isNotNull(), 1).otherwise(0)), F.lit(0))
+
+
+def _seconds_in(number: Column, fraction: Column, unit: Column) -> Column:
+    """Seconds of a bare number, whose two digits behind the point are ``fraction``, in a unit of :data:`UNITS`."""
+    factor = F.element_at(F.create_map(*[x for k, v in UNITS.items() for x in (F.lit(k), F.lit(v))]), unit)
+    return F.when(unit == "clock", F.floor(number) * 60 + F.coalesce(fraction, F.lit(0))).otherwise(number * factor)
+
+
+def feed_units(tracks: DataFrame, videos: DataFrame, feeds: DataFrame) -> DataFrame:
+    """:func:`fit_units` of raw tables: one row a feed and period."""
+    return fit_units(_typed(tracks, videos), note_units(feeds))
 
 
 def stated_seconds(tracks: DataFrame, videos: DataFrame, feeds: DataFrame) -> DataFrame:
-    """Rows ``(src, rec_id, seconds, unit, unit_from, is_unique)``: records that state a positive length, but not in the common form.
+    """Rows ``(src, rec_id, seconds, unit, unit_from, is_unique, agrees)``: records that state a positive length, but not in the common form.
 
     The common form is digits joined by one or two colons for tracks and whole seconds for videos. ``unit_from`` is ``value``,
-    ``note`` or ``residuals``; ``is_unique`` is false where the residuals don't settle the unit. Null and empty lengths,
+    ``note`` or ``residuals``; ``is_unique`` is false where the residuals don't settle the unit, ``agrees`` where they contradict the note. Null and empty lengths,
     zero, negative numbers and text without a length give no row, nor do bare numbers of a feed that is null or in no
     table of feeds. Repeated rows give one. Columns beyond those used are ignored.
 
-    Plan: the table of feeds is small by definition and stays below the broadcast threshold; the records are only mapped, but for
-    the narrow join of :func:`infer_units` and the final distinct over the result.
+    Plan: the records are read once into narrow typed columns; the table of feeds is small by definition, and its units are broadcast; after the narrow join
+    of :func:`fit_units` only the final distinct over the result shuffles.
     """
-    records = _records(tracks, videos)
-    noted = note_units(feeds)
-    silent = noted.where("unit is null").select("src", "feed")
-    inferred = infer_units(records, silent)
-    units = (
-        noted.where("unit is not null")
-        .select("src", "feed", "start_us", "end_us", "unit", F.lit("note").alias("unit_from"), F.lit(True).alias("is_unique"))
-        .unionByName(inferred.select("src", "feed", F.lit(None).cast("long").alias("start_us"), F.lit(None).cast("long").alias("end_us"), "unit", F.lit("residuals").alias("unit_from"), "is_unique"))
-    )
+    typed = _typed(tracks, videos)
+    units = fit_units(typed, note_units(feeds))
     # at most a few rows a feed, gathered into one row a feed so that a record meets just one
-    by_feed = units.groupBy("src", "feed").agg(F.collect_list(F.struct("start_us", "end_us", "unit", "unit_from", "is_unique")).alias("periods"))
-    held = F.get(
-        F.filter("periods", lambda p: (p["start_us"].isNull() | (p["start_us"] <= F.col("at_us"))) & (p["end_us"].isNull() | (p["end_us"] > F.col("at_us")))), F.lit(0)
-    )
-    own = F.struct(worded_seconds(F.col("text")).alias("length"), F.lit(None).cast("string").alias("unit"), F.lit("value").alias("unit_from"), F.lit(True).alias("is_unique"))
-    by_unit = F.transform(
-        F.array(held),
-        lambda p: F.when(
-            p.isNotNull() & ~((F.col("src") == "release_videos") & (p["unit"] == "second")),
-            F.struct(bare_seconds(_bare_number(), F.col("text"), p["unit"]).alias("length"), p["unit"].alias("unit"), p["unit_from"].alias("unit_from"), p["is_unique"].alias("is_unique")),
-        ),
-    )
-    read = records.join(F.broadcast(by_feed), ["src", "feed"], "left")  # the table of feeds doesn't grow
-    found = read.select("src", "rec_id", _once(F.when(_is_bare(), F.get(by_unit, F.lit(0))).when(~_is_common(), own), "r"))
+    by_feed = units.groupBy("src", "feed").agg(F.collect_list(F.struct("start_us", "end_us", "unit", "unit_from", "is_unique", "agrees")).alias("periods"))
+    read = typed.where("not common").join(F.broadcast(by_feed), ["src", "feed"], "left")  # the table of feeds doesn't grow
+    p = F.when(F.col("number").isNotNull(), _held(F.col("periods")))
+    read = read.withColumn("p", p).where("number is null or (p is not null and not (src = 'release_videos' and p.unit = 'second'))")
+    length = F.when(F.col("number").isNull(), F.col("stated")).otherwise(_seconds_in(F.col("number"), F.col("fraction"), F.col("p.unit")))
     return (
-        found.where("r.length > 0")
-        .select("src", "rec_id", F.floor(F.col("r.length") + 0.5).cast("long").alias("seconds"), "r.unit", "r.unit_from", "r.is_unique")
+        read.select("src", "rec_id", length.alias("length"), "p.unit", F.coalesce("p.unit_from", F.lit("value")).alias("unit_from"), F.coalesce("p.is_unique", F.lit(True)).alias("is_unique"), F.coalesce("p.agrees", F.lit(True)).alias("agrees"))
+        .where("length > 0")
+        .select("src", "rec_id", F.floor(F.col("length") + 0.5).cast("long").alias("seconds"), "unit", "unit_from", "is_unique", "agrees")
         .distinct()
     )

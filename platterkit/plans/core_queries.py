@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from platterkit.operators.packed import split_names, split_packed
 from platterkit.operators.snapshots import collection_changes
-from platterkit.operators.units import UNITS, stated_seconds, worded_sql
+from platterkit.operators.units import feed_units, stated_seconds
 from platterkit.session import read
 
 
@@ -31,14 +31,27 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return collection_changes(read(spark, d, "collection_snapshots"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p7_found": p7_found}
+def p1_units(spark: SparkSession, d: str) -> DataFrame:
+    """The unit of each feed and period, where it comes from, and whether the residuals settle it and agree with the note."""
+    units = feed_units(read(spark, d, "tracks"), read(spark, d, "release_videos"), read(spark, d, "feeds"))
+    return units.select("src", "feed", F.col("start_us").isNotNull().alias("later"), "unit", "unit_from", "is_unique", "agrees")
 
-# The SQL reads the notes of the test tables only, and finds silent feeds' units by medians alone.
-_UNITS = ", ".join(f"('{u}', {f!r}::double)" for u, f in UNITS.items())
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_units": p1_units, "p2_found": p2_found, "p7_found": p7_found}
+
+# The SQL knows the notes of the test tables only, finds silent feeds' units by medians alone, and reads wording as numbers with the first letter of what follows them.
+_PARTS = """list_sum(list_transform(regexp_extract_all(u, '[0-9]+(?:[.,][0-9]+)? *[^0-9 ,.]*'), lambda x, i: replace(regexp_extract(x, '^[0-9.,]+'), ',', '.')::double * case
+  when trim(regexp_extract(x, '[^0-9., ]*$')) = '' then case when i > 1 then 1 end when regexp_matches(x, '[0-9] *(h|std)') then 3600 when regexp_matches(x, '[0-9] *(s|"|″|”|'''')') then 1 when regexp_matches(x, '[0-9] *(m|''|′|’)') then 60 end))"""
+_WORDED = f"""case when regexp_matches(u, 'sa?mp') then regexp_extract(u, '^[0-9]+')::double / (regexp_extract(u, '([0-9.]+) k?hz', 1)::double * case when contains(u, 'khz') then 1000 else 1 end)
+  when contains(u, 'frames (') then regexp_extract(u, '^[0-9]+')::double / regexp_extract(u, '\\(([0-9]+)', 1)::double
+  when regexp_matches(u, '(ms|msec|milliseconds)$') then regexp_replace(u, '[^0-9]', '', 'g')::double / 1000
+  when regexp_matches(u, '[0-9]:[0-9]') then list_reduce(list_transform(string_split(regexp_extract(u, '[0-9]+(:[0-9.]+)+'), ':'), lambda x: x::double), lambda a, x: a * 60 + x)
+  when regexp_matches(u, 'rpm|inch|bit|take') then null else {_PARTS} end"""
+_UNITS = "('millisecond', 0.001::double), ('frame_75', 1 / 75::double), ('frame_30', 1 / 30::double), ('frame_25', 0.04::double), ('hundredth', 0.01::double), ('tenth', 0.1::double), ('second', 1::double), ('minute', 60::double), ('clock', 60::double), ('hour', 3600::double)"
 _LENGTHS = f"""
 with rec as (select 'tracks' src, id rec_id, feed, recorded_at, trim(duration) t from tracks union all select 'release_videos', id, feed, recorded_at, trim(duration::varchar) from release_videos),
-kinds as (select *, regexp_matches(t, '^\\d+(:\\d+){{1,2}}$') common, case when regexp_matches(t, '^\\d+([.,]\\d+)?$') then replace(t, ',', '.')::double end num from rec where t <> ''),
-said as (select *, case when common then list_reduce(list_transform(string_split(t, ':'), lambda x: x::double), lambda a, x: a * 60 + x) when num is null then {worded_sql("t")} end secs from kinds),
+kinds as (select *, lower(t) u, regexp_matches(t, '^\\d+(:\\d+){{1,2}}$') common, case when regexp_matches(t, '^\\d+([.,]\\d+)?$') then replace(t, ',', '.')::double end num from rec where t <> ''),
+said as (select *, case when common then list_reduce(list_transform(string_split(t, ':'), lambda x: x::double), lambda a, x: a * 60 + x) when num is null then {_WORDED} end secs from kinds),
 parts as (select delivers src, feed, unnest(string_split_regex(lower(note), 'from 1 april 2024|since 2024-04-01t00:00z')) p, generate_subscripts(string_split_regex(lower(note), 'from 1 april 2024|since 2024-04-01t00:00z'), 1) i,
   len(string_split_regex(lower(note), 'from 1 april 2024|since 2024-04-01t00:00z')) n from feeds),
 noted as (select src, feed, case when n > 1 and i = 2 then timestamp '2024-04-01' end lo, case when n > 1 and i = 1 then timestamp '2024-04-01' end hi,
@@ -54,6 +67,7 @@ found as (select src, rec_id, secs s from said where not common and num is null
 """
 
 ORACLES: dict[str, str] = {
+    "p1_units": _LENGTHS + "select src, feed, lo is not null later, unit, case when (src, feed) in (select src, feed from silent) then 'residuals' else 'note' end unit_from, true is_unique, true agrees from units",
     "p1_found": _LENGTHS + "select distinct src, rec_id, floor(s + 0.5)::bigint as seconds from found",
     "p7_found": r"""
 with valid as (

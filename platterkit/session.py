@@ -79,13 +79,13 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free(spark: SparkSession) -> None:
-    """Lets go of what steps before have left: Spark frees broadcasts and shuffle files only once the driver's collectors find that nothing refers to them.
-
-    For the end of a large step of an operator that has many.
-    """
+def settle(df: DataFrame) -> DataFrame:
+    """:func:`stash` for operators of many steps: lets go of what the step has left in the driver, as Spark frees broadcasts and
+    shuffle files only once the driver's collectors find that nothing refers to them."""
+    out = stash(df)
     gc.collect()
-    spark._jvm.System.gc()
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -76,6 +76,24 @@ def test_a_unit_that_lengths_do_not_settle_is_flagged(spark):
     assert {r.is_unique for r in got} == {False}
 
 
+def test_contradicted_notes_and_changes_of_unit(spark):
+    months = [dt.datetime(2024, m, 15) for m in range(1, 7)]
+    seconds = lambda i: 180 + i % 97
+    known = [(1000 + i, i, f"t{i}", f"{seconds(i) // 60}:{seconds(i) % 60:02d}", "api", None) for i in range(240)]
+    # a note that says seconds over milliseconds, one that is right, and a silent feed that turns from seconds to milliseconds after three months
+    liar = [(2000 + i, i, f"t{i}", str(seconds(i) * 1000), "liar", None) for i in range(240)]
+    right = [(3000 + i, i, f"t{i}", str(seconds(i) * 10), "right", None) for i in range(240)]
+    turn = [(4000 + i, i, f"t{i}", str(seconds(i) * (1 if i % 6 < 3 else 1000)), "turn", months[i % 6]) for i in range(240)]
+    feeds = spark.createDataFrame([("api", "tracks", None), ("liar", "tracks", "seconds"), ("right", "tracks", "tenths of a second"), ("turn", "tracks", None)], "feed string, delivers string, note string")
+    tracks, videos = records(spark, known + liar + right + turn, "string"), records(spark, [], "long")
+    found = {}
+    for r in units.feed_units(tracks, videos, feeds).collect():
+        found.setdefault(r.feed, set()).add((r.unit, r.unit_from, r.is_unique, r.agrees))
+    assert found["liar"] == {("second", "note", True, False)} and found["right"] == {("tenth", "note", True, True)} and {u for u, *_ in found["turn"]} == {"second", "millisecond"}
+    got = {r.rec_id: r for r in units.stated_seconds(tracks, videos, feeds).collect()}
+    assert all(got[4000 + i].seconds == seconds(i) for i in range(240)) and got[2000].agrees is False and got[3000].seconds == seconds(0)
+
+
 def brute_items(s):
     """Splits by walking the text once."""
     out, i, n, item, quoted = [], 0, len(s), "", False
