@@ -30,8 +30,6 @@ PAIR_BITS = 4.0
 #: Encodings text is wrongly decoded with, and one-byte encodings it may have been written in. Python's codec names.
 WRONG = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "koi8_r", "iso8859_2", "iso8859_15", "cp866", "cp1254")
 WRITTEN = ("cp1251", "koi8_r", "cp1250", "cp1252", "iso8859_2", "cp866", "cp850", "mac_roman", "mac_cyrillic")
-#: Nestings of wrong decodings that are undone.
-DEPTH = 3
 _NEVER = re.compile("[\x80-\x9f�]")
 #: A sign between small letters, as when letters of a Central European encoding show as signs.
 _INSIDE = re.compile(r"[a-zß-öø-ÿ][¡¢£¤¥¦§¨©ª¬®¯°±²³´µ¶¸¹º¼½¾¿][a-zß-öø-ÿ]")
@@ -204,7 +202,7 @@ class Corpus:
 
     def inverse(self, run: str, before: str, after: str) -> str:
         """The likeliest text that a run stands for, perhaps itself."""
-        for _ in range(DEPTH):
+        while True:  # each turn makes the run likelier, so it ends
             own = self.likelihood(before + run + after)
             best, gain = run, 0.0
             for there in {_from_utf8(run, wrong) for wrong in WRONG} | set(_mended(run)):
@@ -217,7 +215,6 @@ class Corpus:
             if best == run:
                 return run
             run = best
-        return run
 
     def _gain(self, there: str, run: str, before: str, after: str, own: float) -> float:
         unknown = sum(1 for c in there if c > "\x7f" and not self.seen(c) and c not in run)

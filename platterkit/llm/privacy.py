@@ -2,7 +2,7 @@
 
 Information-theoretic sanitisation. Spans that might reveal a person (addresses, e-mail addresses, numbers, pairs of capitalised words) are
 taken from the texts as candidates. Co-occurrence over the corpus then estimates how strongly each term, that is a number's
-shape, a family name or the words around a span, reveals a protected entity, starting from mentions that are certain: a number
+shape, a family name, the words around a span or the company of certain mentions in a text, reveals a protected entity, starting from mentions that are certain: a number
 after a word that announces it, a known given name before a rare family name. Candidates whose terms
 exceed the disclosure threshold are replaced by the placeholder of their type.
 """
@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 
 from platterkit.session import stash
 
-#: A name in this share of the different texts, or more, loses TERM_BITS and is no seed; one in half as many loses nothing.
-COMMON_SHARE = 0.02
-#: Words around a span are weighed if they occur beside spans in at least this share of the texts, but at least twice.
-CONTEXT_SHARE = 1e-4
+#: A name in this share of the different texts, or more, and in so many of them, loses TERM_BITS and is no seed; one in half as many loses nothing.
+COMMON_SHARE, COMMON_USES = 0.02, 3
+#: Texts as many as these, with the corpus's share of certain mentions, are added to those of a name when its company is weighed.
+COMPANY_PRIOR = 4.0
+#: Uses of words around a span from which they are weighed: what was seen once says nothing of others.
+CONTEXT_USES = 2
+#: Digits of a number that may reveal a person by its shape, and of one that a word announces.
+NUMBER_DIGITS, ANNOUNCED_DIGITS = 6, 5
 #: A number's shape reveals a person if this share of its occurrences is announced by a word.
 SHAPE_SHARE = 0.15
 #: Bits a known given name adds, and the most that one term adds or takes.
@@ -74,9 +78,12 @@ def candidates(text: str) -> list[tuple]:
             out.append((kind, m.start(), m.end(), m[0], None, None, None, None, None, kind))
         masked = pattern.sub(lambda m: "\x00" * len(m[0]), masked)
     for m in _NUMBER.finditer(masked):
-        if sum(c.isdigit() for c in m[0]) >= 6:
+        digits = sum(c.isdigit() for c in m[0])
+        if digits >= ANNOUNCED_DIGITS:
             before = masked[max(0, m.start() - 60) : m.start()]
             seed = "id" if _ID_BEFORE.search(before) else "phone" if _PHONE_BEFORE.search(before) or _DIALLED.match(m[0]) else None
+            if seed is None and digits < NUMBER_DIGITS:
+                continue
             out.append(("number", m.start(), m.end(), m[0], None, None, None, None, shape(m[0]), seed))
     tokens = [(m.start(), m.end(), m[0]) for m in _NAME_TOKEN.finditer(masked)]
     for i, (start, end, given) in enumerate(tokens):
@@ -126,8 +133,8 @@ def disclosed_numbers(spans: DataFrame) -> DataFrame:
         .select("shape", F.when(F.col("ids") >= F.col("phones"), "id").otherwise("phone").alias("shape_kind"))
     )
     found = numbers.drop("kind").join(shapes, "shape", "left").withColumn("kind", F.coalesce("seed", "shape_kind")).where("kind is not null")
-    # a phone has nine digits or more, however it is announced
-    return found.where("kind = 'id' or length(regexp_replace(surface, '[^0-9]', '')) between 9 and 15").select("src", "rec_id", "kind", "start", "end", "surface")
+    # what no word announces has to be as long as a phone number with its area
+    return found.where("kind = 'id' or seed is not null or length(regexp_replace(surface, '[^0-9]', '')) between 9 and 15").select("src", "rec_id", "kind", "start", "end", "surface")
 
 
 def disclosed_names(spans: DataFrame, texts: DataFrame, artists: DataFrame, given_names: DataFrame) -> DataFrame:
@@ -136,12 +143,21 @@ def disclosed_names(spans: DataFrame, texts: DataFrame, artists: DataFrame, give
     total = texts.agg(F.count("*").alias("texts"), F.count_distinct("copy").alias("different"))
     full = F.concat_ws(" ", "given", "family")
     terms = ["surface", "given", "family", "left", "right"]
-    uses = names.groupBy(*terms, "copy").agg(F.count("*").alias("n")).groupBy(*terms).agg(F.sum("n").alias("n"), F.count("*").alias("texts_with")).withColumn("name", full)
+    # texts that certainly mention a person, by other kinds: what often stands in their company is about persons
+    certain = spans.where("kind in ('email', 'address') or seed is not null").select("copy", F.lit(1).alias("company")).distinct()
+    base_share = certain.agg(F.count("*").alias("certain"))
+    uses = names.groupBy(*terms, "copy").agg(F.count("*").alias("n")).join(certain, "copy", "left")
+    uses = uses.groupBy(*terms).agg(F.sum("n").alias("n"), F.count("*").alias("texts_with"), F.count("company").alias("company")).withColumn("name", full)
     # counted over different texts, so that copies don't weigh
-    common = uses.groupBy("surface").agg(F.sum("texts_with").alias("uses")).crossJoin(F.broadcast(total))
-    share = F.log2(2 * F.col("uses") / F.greatest(COMMON_SHARE * F.col("different"), F.lit(3)))
-    common = common.select("surface", (-TERM_BITS * F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0))).alias("common_bits"))
-    uses = uses.join(common, "surface")
+    common = uses.groupBy("surface").agg(F.sum("texts_with").alias("uses"), F.sum("company").alias("company")).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(base_share))
+    # a text doesn't vouch for its own name
+    rate = F.greatest(F.least(F.col("certain") / F.greatest("different", F.lit(1)), F.lit(0.5)), F.lit(1e-4))
+    others, beside = F.col("uses") - 1, F.greatest(F.col("company") - 1, F.lit(0))
+    odds = (beside + COMPANY_PRIOR * rate) / (others - beside + COMPANY_PRIOR * (1 - rate))
+    company = F.least(F.greatest(F.log2(odds / (rate / (1 - rate))), F.lit(0.0)), F.lit(TERM_BITS))
+    share = F.log2(2 * F.col("uses") / F.greatest(COMMON_SHARE * F.col("different"), F.lit(COMMON_USES)))
+    common = common.select("surface", (-TERM_BITS * F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0))).alias("common_bits"), company.alias("company_bits"))
+    uses = uses.drop("company").join(common, "surface")
     known = artists.select(F.col("name").alias("name"), F.lit(True).alias("artist")).where("name is not null").distinct()
     listed = given_names.select(F.col("name").alias("given"), F.lit(True).alias("listed")).where("given is not null").distinct()
     uses = uses.join(known, "name", "left").join(F.broadcast(listed), "given", "left")  # the list of given names doesn't grow
@@ -153,17 +169,16 @@ def disclosed_names(spans: DataFrame, texts: DataFrame, artists: DataFrame, give
     base = uses.crossJoin(F.broadcast(prior)).crossJoin(F.broadcast(total)).join(family, "family")  # one number each
 
     def context(side: str) -> DataFrame:
-        least = F.greatest(CONTEXT_SHARE * F.col("texts"), F.lit(2.0))
         counts = uses.groupBy(side).agg(F.sum("n").alias("all"), F.sum("e").alias(f"{side}_n"), F.sum("s").alias(f"{side}_s"))
-        return F.broadcast(counts.crossJoin(F.broadcast(total)).where(F.col("all") >= least).drop("texts", "different", "all"))  # at most candidates a text / CONTEXT_SHARE rows
+        return counts.where(F.col("all") >= CONTEXT_USES).drop("all")
 
     scored = base.join(context("left"), "left", "left").join(context("right"), "right", "left")
     # a use doesn't vouch for itself
-    own = lambda n, s: F.coalesce(_bits(F.col(n) - F.col("e"), F.col(s) - F.col("s"), F.col("prior")), F.lit(0.0))
+    own = lambda n, s: F.when(F.col(n).isNull(), F.lit(0.0)).otherwise(_bits(F.col(n) - F.col("e"), F.col(s) - F.col("s"), F.col("prior")))
     score = (
         F.log2(F.col("prior") / (1 - F.col("prior")))
         + own("fn", "fs") + own("left_n", "left_s") + own("right_n", "right_s")
-        + F.when(F.col("listed"), GIVEN_BITS).otherwise(0.0) + F.col("common_bits")
+        + F.when(F.col("listed"), GIVEN_BITS).otherwise(0.0) + F.col("common_bits") + F.col("company_bits")
     )
     good = scored.where("artist is null").withColumn("score", score).where("score > 0").select("surface", "left", "right", "score")
     hits = names.join(good, ["surface", "left", "right"])

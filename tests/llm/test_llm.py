@@ -245,6 +245,15 @@ def test_lists_that_can_be_each_others_share_a_key(spark, monkeypatch):
         assert f + g - 0.9 <= linkage.MATCH or (a, b) in met, (lists[a], lists[b])
 
 
+@pytest.mark.parametrize("size", [100, 1000])
+def test_commonness_hides_no_person(spark, size):
+    # a listed name and a short announced number in 8 texts, which are a large share of few and a small one of many; every right context is seen once
+    texts = [f"Filmed by Anna Quistberg in {1990 + i}, call 555 1234 for copy {i}." if i < 8 else f"Side {i}, pressed in {1950 + i % 60} at Plant {i % 7}, catalogue KT{i:04d}." for i in range(size)]
+    df = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "src string, rec_id long, text string")
+    found = Counter((r["kind"], r.surface) for r in privacy.find_mentions(df, artists(spark), spark.createDataFrame([("Anna",)], "name string")).collect())
+    assert found == {("name", "Anna Quistberg"): 8, ("phone", "555 1234"): 8}
+
+
 # co-occurrence
 @pytest.mark.parametrize("run", [7, 4_000_000])
 def test_pair_counts_against_brute_force(spark, monkeypatch, run):
