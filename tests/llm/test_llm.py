@@ -208,7 +208,7 @@ def test_blanks_astray_are_no_bar(spark):
     cat = linkage.catalogue(rel, trk.withColumn("recorded_at", F.expr("timestamp_ntz '2024-01-01 00:00:00'")))
     titles = ["Tovelin Ensemble - SecondCinder", "TovelinEnsemble - Second Cinder", "Tovelin Ensemble - Sun flower", "Tovelin Ensemble - Wxndwaqd Harbour Slowly", "The HelodekChoir - Grey Meadow", "Tovelin Ensemble - Other Thing"]
     v = spark.createDataFrame([(i, t, 241, "x", None, 1) for i, t in enumerate(titles)], "id long, title string, duration int, uploader string, tags array<string>, fetched_at int")
-    f = spark.createDataFrame([(1, "/TheHelodekChoir - Island", ["01 - Rip.flac"], 1)], FOLDER)
+    f = spark.createDataFrame([(1, "/TheHelodekChoir - Island", ["01 - Grey Meadow.flac"], 1)], FOLDER)
     assert linked(spark, cat, v)[0] == {(0, 10), (1, 10), (2, 11), (3, 12), (4, 20)}
     folders = linkage.folder_words(f)
     own = linkage.spelt(folders, linkage.spellings(cat, [folders]))
