@@ -103,34 +103,21 @@ def split_names(df: DataFrame, key: str, text: str, known: DataFrame, name: str,
     tokens = kept.withColumn("__tokens", F.arrays_zip(F.col("__raw").alias("piece"), F.col("__between").alias("mark")))
     widest = compound.agg(F.coalesce(F.max("__width"), F.lit(1)).alias("__widest"))
     n = F.size("__raw")
-    runs = (
-        tokens.crossJoin(F.broadcast(widest))  # one row, a single number
-        .where((n > 1) & (F.col("__widest") > 1))
-        .select("__text", "__tokens", "__spans", F.explode(F.sequence(F.lit(0), n - 2)).alias("i"), "__widest")
-        .select(
-            "__text", "__tokens", "__spans", "i", F.explode(F.sequence(F.col("i") + 2, F.least(F.size("__tokens"), F.col("i") + F.col("__widest")))).alias("j")
-        )
-        .select(
-            "__text",
-            "i",
-            "j",
-            restore(
-                F.concat(
-                    F.array_join(F.transform(F.slice("__tokens", F.col("i") + 1, F.col("j") - F.col("i") - 1), lambda t: F.concat(t["piece"], t["mark"])), ""),
-                    F.get(F.col("__tokens"), F.col("j") - 1)["piece"],
-                ),
-                F.col("__spans"),
-            ).alias("__name"),
-        )
+    run = lambda i, j: restore(
+        F.concat(F.array_join(F.transform(F.slice("__tokens", i + 1, j - i - 1), lambda t: F.concat(t["piece"], t["mark"])), ""), F.get(F.col("__tokens"), j - 1)["piece"]), F.col("__spans")
     )
-    hits = runs.join(compound.select("__name"), "__name", "left_semi").groupBy("__text").agg(F.collect_set(F.struct("i", (-F.col("j")).alias("j"))).alias("__hits"))
+    # each run leaves its text as a name and two numbers; neither pieces nor spans go with it
+    of_text = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 2, F.least(n, i + F.col("__widest"))), lambda j: F.struct(i.alias("i"), j.alias("j"), run(i, j).alias("__name")))))
+    wide = tokens.withColumn("__id", F.md5("__text")).crossJoin(F.broadcast(widest)).where((n > 1) & (F.col("__widest") > 1))  # one row, a single number
+    runs = wide.select("__id", F.inline(of_text))
+    hits = runs.join(compound.select("__name"), "__name", "left_semi").groupBy("__id").agg(F.collect_set(F.struct("i", (-F.col("j")).alias("j"))).alias("__hits"))
     # take the hits from left to right, the longest first; one that begins before the end of the last taken is passed over
     taken = F.aggregate(
         F.sort_array(F.coalesce("__hits", F.array().cast("array<struct<i:int,j:int>>"))),
         F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<i:int,j:int>>").alias("runs")),
         lambda a, h: F.when(h["i"] >= a["end"], F.struct((-h["j"]).alias("end"), F.array_append(a["runs"], F.struct(h["i"].alias("i"), (-h["j"]).alias("j"))).alias("runs"))).otherwise(a),
     )["runs"]
-    joined = tokens.join(hits, "__text", "left").withColumn("__runs", taken)
+    joined = tokens.withColumn("__id", F.md5("__text")).join(hits, "__id", "left").drop("__id").withColumn("__runs", taken)
     run_at = lambda i: F.get(F.filter("__runs", lambda r: r["i"] == i), F.lit(0))
     inside = lambda i: F.exists("__runs", lambda r: (r["i"] < i) & (i < r["j"]))
     whole = lambda r: F.concat(
