@@ -17,8 +17,8 @@ from platterkit.functions.similarity import word_similarity
 from platterkit.operators import detail, facets, layout, local_match, pending, pipeline, resolve, scores, search, sync
 from platterkit.plans.fixture import NOW, catalog, sql
 from platterkit.schema import TABLES, Catalog
-from platterkit.session import read, stash
-from platterkit.streaming.sync_stream import stream_counts
+from platterkit.session import read, shared_path, stash
+from platterkit.streaming.sync_stream import read_state, stream_counts, stream_upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _DEFINED: list[tuple[str, Query, str | None]] = []
@@ -488,5 +488,19 @@ _define("label_tracks", label_tracks, sql("""select release_id, case when length
    from (select *, row_number() over (partition by release_id order by id) n from c_tracks) where n <= 8"""))
 _table("stream_window_counts", "events", lambda t: stream_counts(t, "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) n from events group by 1, 2")
 
+
+
+def stream_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The latest delivery of each release, folded by a stream over the snapshots' files."""
+    path = f"{d}/collection_snapshot?.parquet"  # a pattern, as the table may be one file or a folder
+    fields = ["id", "title", "year", "delivered_at", "snapshot_no"]
+    schema = read(spark, d, "collection_snapshots").select(*fields).schema
+    at = shared_path(spark)
+    stream_upserts(spark, path, schema, "id", "delivered_at", f"{at}/state", f"{at}/checkpoint").awaitTermination()
+    return read_state(spark, schema, f"{at}/state").select("id", "title", "year", "snapshot_no")
+
+
+_define("stream_latest", stream_latest, """select id, v.title title, v.y "year", v.n snapshot_no from (select id, arg_max(struct_pack(title := title, y := "year", n := snapshot_no), (delivered_at, title, coalesce("year", -1), snapshot_no)) v from collection_snapshots group by 1)""")
+
 QUERIES: dict[str, Query] = {name: query for name, query, _ in _DEFINED}
 ORACLES: dict[str, str] = {name: oracle for name, _, oracle in _DEFINED if oracle}

@@ -54,13 +54,26 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _cleaning = threading.Lock()  # the setting is the session's: one table at a time is written under it
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed with all below it when the application ends."""
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    atexit.register(remove)
+    return path
+
+
 def stash(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read back: like :func:`cut`, but compressed and with columns that can be pruned.
 
     The table is removed when the application ends.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     # the plan runs this once, so its shuffle files can go as soon as the table is written
     with _cleaning:
         before = spark.conf.get(_CLEANUP, "false")
@@ -69,13 +82,6 @@ def stash(df: DataFrame) -> DataFrame:
             df.write.parquet(path)
         finally:
             spark.conf.set(_CLEANUP, before)
-
-    def remove() -> None:
-        with contextlib.suppress(Exception):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-    atexit.register(remove)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,25 +9,80 @@ from pyspark.sql.types import StructType
 
 from platterkit.operators.sync import latest
 
+#: Parts of the state by a hash of the key; a batch rewrites those that its keys fall into.
+BUCKETS = 256
+
 
-def stream_upserts(spark: SparkSession, source: str, schema: StructType, key: str, order: str, state: str, checkpoint: str, write: Callable[[DataFrame, str], None] | None = None) -> StreamingQuery:
-    """Starts a stream that keeps the latest row of each key of the Parquet files in ``source``.
+def stream_upserts(spark: SparkSession, source: str, schema: StructType, key: str, order: str, state: str, checkpoint: str, files: int = 1, buckets: int = BUCKETS) -> StreamingQuery:
+    """Starts a stream that keeps the latest row of each key of the Parquet files in ``source``, ``files`` of them a batch, in order of arrival.
 
-    Each batch is reduced to its latest rows and merged with the state of the batch before, which lies in ``<state>/batch=<n>``; a batch
-    that is run again writes its own directory anew from the same predecessor, so its result is the same. Files are taken in order of arrival.
+    The state lies in ``<state>/batch=<n>/bucket=<b>``: each batch is reduced to its latest rows and merged with the newest earlier version of the buckets they fall into; the
+    other buckets stay where they are. A batch that is run again writes its own versions anew from the same predecessors, so its result is the same. Versions
+    older than these predecessors are removed. :func:`read_state` gives the whole.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        rows = latest(batch, key, order)
-        path = f"{state}/batch={number}"
-        if number > 0:
-            rows = latest(batch.sparkSession.read.schema(schema).parquet(f"{state}/batch={number - 1}").unionByName(rows), key, order)
-        (write or (lambda df, at: df.write.mode("overwrite").parquet(at)))(rows, path)
+        session = batch.sparkSession
+        fresh = latest(batch, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = {r.bucket for r in fresh.select("bucket").distinct().collect()}  # at most ``buckets`` numbers
+            before = {b: n for b, n in _versions(session, state, number - 1).items() if b in touched}
+            rows = fresh
+            if before:
+                rows = rows.unionByName(_at(session, schema, state, before))
+            merged = latest(rows, key, order)
+            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/batch={number}")
+        finally:
+            fresh.unpersist()
+        for b, kept in before.items():
+            _remove_below(session, state, b, kept)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_state(spark: SparkSession, schema: StructType, state: str) -> DataFrame:
+    """The latest row of each key that a stream has folded into a state; none if there is no state yet."""
+    now = _versions(spark, state)
+    return _at(spark, schema, state, now).drop("bucket") if now else spark.createDataFrame([], schema)
+
+
+def _at(spark: SparkSession, schema: StructType, state: str, versions: dict[int, int]) -> DataFrame:
+    paths = [f"{state}/batch={n}/bucket={b}" for b, n in sorted(versions.items())]
+    rows = spark.read.schema(schema).option("basePath", state).parquet(*paths)
+    bucket = F.regexp_extract(F.input_file_name(), r"bucket=(\d+)", 1).cast("int")
+    return rows.select(*schema.fieldNames(), bucket.alias("bucket"))
+
+
+def _folder(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _numbers(spark: SparkSession, at: str, name: str) -> list[int]:
+    fs, path = _folder(spark, at)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return [int(n.split("=")[1]) for n in names if n.startswith(f"{name}=")]
+
+
+def _versions(spark: SparkSession, state: str, up_to: int | None = None) -> dict[int, int]:
+    """For each bucket the newest finished batch that wrote it."""
+    out: dict[int, int] = {}
+    for n in sorted(_numbers(spark, state, "batch")):
+        fs, done = _folder(spark, f"{state}/batch={n}/_SUCCESS")
+        if (up_to is None or n <= up_to) and fs.exists(done):
+            out.update({b: n for b in _numbers(spark, f"{state}/batch={n}", "bucket")})
+    return out
+
+
+def _remove_below(spark: SparkSession, state: str, bucket: int, kept: int) -> None:
+    for n in _numbers(spark, state, "batch"):
+        if n < kept:
+            fs, path = _folder(spark, f"{state}/batch={n}/bucket={bucket}")
+            if fs.exists(path):
+                fs.delete(path, True)
+
+
 def stream_counts(events: DataFrame, time: str, group: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Rows ``(start, <group>, n)`` of a stream or table of events in tumbling windows; rows later than ``late`` are dropped by a stream."""
     timed = events.withColumn("__t", F.col(time).cast("timestamp"))

@@ -1,5 +1,7 @@
 """The catalogue's operators on a small catalogue, with the cases of a hand-made collection."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from platterkit.functions.similarity import levenshtein_similarity
 from platterkit.operators import detail, facets, layout, local_match, pending, resolve, scores, search, sync
 from platterkit.schema import TABLES, Catalog
 from platterkit.sources import catalogue, fetch, folders
-from platterkit.streaming.sync_stream import stream_upserts
+from platterkit.streaming.sync_stream import read_state, stream_upserts
 
 NOW = "2024-02-01T00:00:00"
 
@@ -255,9 +257,17 @@ def test_stream_keeps_the_latest_row(spark, tmp_path):
     schema = StructType([StructField("id", LongType()), StructField("v", StringType()), StructField("seq", LongType())])
     for n, rows in enumerate([[(1, "a", 1), (2, "b", 1)], [(1, "c", 3), (1, "d", 2)], [(3, "e", 1)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    q = stream_upserts(spark, str(tmp_path / "in"), schema, "id", "seq", str(tmp_path / "state"), str(tmp_path / "ck"))
-    q.awaitTermination(60)
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "state/batch=2")).collect()} == {(1, "c", 3), (2, "b", 1), (3, "e", 1)}
+    state = str(tmp_path / "state")
+    assert read_state(spark, schema, state).count() == 0
+    stream_upserts(spark, str(tmp_path / "in"), schema, "id", "seq", state, str(tmp_path / "ck"), buckets=4).awaitTermination(60)
+    assert {tuple(r) for r in read_state(spark, schema, state).collect()} == {(1, "c", 3), (2, "b", 1), (3, "e", 1)}
+    # what comes later is folded in; no bucket keeps more than two versions
+    for rows in ([(2, "f", 5)], [(2, "g", 4), (None, "h", 9)], [(2, "i", 6)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream_upserts(spark, str(tmp_path / "in"), schema, "id", "seq", state, str(tmp_path / "ck"), buckets=4).awaitTermination(60)
+    assert {tuple(r) for r in read_state(spark, schema, state).collect()} == {(1, "c", 3), (2, "i", 6), (3, "e", 1)}
+    versions = Counter(p.name for p in (tmp_path / "state").glob("batch=*/bucket=*"))
+    assert max(versions.values()) <= 2
 
 
 def test_levenshtein_similarity(spark):
