@@ -11,7 +11,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 
 def process(text: str | None) -> str:
@@ -119,6 +119,26 @@ def token_sort_similarity(a: Column, b: Column) -> Column:
     return _token_sort(a, b)
 
 
+@F.pandas_udf(StringType())
+def _sorted_words(a: pd.Series) -> pd.Series:
+    return a.map(lambda x: " ".join(sorted(process(x).split())))
+
+
+@F.pandas_udf(DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)], index=a.index, dtype="float64")
+
+
+def sorted_words(text: Column) -> Column:
+    """A text after :func:`process` with its words sorted, so that of many pairs each text is prepared once; null counts as empty."""
+    return _sorted_words(text)
+
+
+def ratio_similarity(a: Column, b: Column) -> Column:
+    """:func:`ratio` of two text columns as they are; of :func:`sorted_words` it is :func:`token_sort_similarity`."""
+    return _ratio(a, b)
+
+
 def levenshtein_similarity(a: Column, b: Column) -> Column:
     """100 times one minus the edit distance over the longer length; a scorer that stays in the JVM."""
     longest = F.greatest(F.length(a), F.length(b))

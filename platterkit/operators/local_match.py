@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platterkit.functions.similarity import process, token_sort_similarity, weighted_ratio
+from platterkit.functions.similarity import process, ratio_similarity, sorted_words, weighted_ratio
 from platterkit.functions.text import clean_filename
+from platterkit.session import stash
 
 CONFIDENT = 0.75
 
@@ -25,11 +26,14 @@ def score_folders(releases: DataFrame, folders: DataFrame) -> DataFrame:
     word is a join key, so what is compared grows with shared words and not as releases times folders.
     """
     name = F.regexp_extract(F.regexp_replace("path", r"[/\\]+$", ""), r"([^/\\]*)$", 1)
-    f = folders.select("path", name.alias("name")).distinct()
+    # each text is prepared once, written once and carried by number
+    f = stash(folders.select("path", name.alias("name")).distinct().withColumn("own", sorted_words(F.col("name"))).withColumn("f", F.xxhash64("path")))
     r = releases.select(F.col("id").alias("release_id"), F.concat_ws(" ", "artists", "title").alias("text")).distinct()
-    pairs = r.select("release_id", F.explode(folder_words(F.col("text"))).alias("w")).join(f.select("path", F.explode(folder_words(F.col("name"))).alias("w")), "w").select("release_id", "path").distinct()
-    full = pairs.join(r, "release_id").join(f, "path")
-    return full.select("release_id", "path", (token_sort_similarity(F.col("text"), F.col("name")) / 100).alias("score"))
+    r = stash(r.withColumn("text_words", sorted_words(F.col("text"))))
+    keys = lambda df, key, text: df.select(key, F.explode(F.transform(folder_words(F.col(text)), lambda w: F.xxhash64(w))).alias("w"))
+    pairs = keys(r, "release_id", "text").join(keys(f, "f", "name"), "w").select("release_id", "f").distinct()
+    full = pairs.join(r.select("release_id", "text_words"), "release_id").join(f.select("f", "path", "own"), "f")
+    return full.select("release_id", "path", (ratio_similarity(F.col("text_words"), F.col("own")) / 100).alias("score"))
 
 
 def best_folder(scored: DataFrame) -> DataFrame:
