@@ -164,6 +164,7 @@ def disclosed_names(spans: DataFrame, texts: DataFrame, artists: DataFrame, give
     # a frequent name is scored like any, but is no evidence about others
     uses = uses.withColumn("e", F.when(F.col("common_bits") > -TERM_BITS, F.col("n")).otherwise(F.lit(0)))
     uses = uses.withColumn("s", F.when(F.col("listed") & F.col("artist").isNull(), F.col("e")).otherwise(F.lit(0)))
+    uses = stash(uses.select(*terms, "n", "e", "s", "listed", "artist", "common_bits", "company_bits"))  # read five times
     prior = uses.agg(F.greatest(F.least((F.sum("s") + 1) / (F.sum("e") + 2), F.lit(0.5)), F.lit(1e-4)).alias("prior"))
     family = uses.groupBy("family").agg(F.sum("e").alias("fn"), F.sum("s").alias("fs"))
     base = uses.crossJoin(F.broadcast(prior)).crossJoin(F.broadcast(total)).join(family, "family")  # one number each
@@ -198,8 +199,8 @@ def find_mentions(texts: DataFrame, artists: DataFrame, given_names: DataFrame)
     ``texts`` has ``src, rec_id, text``. Kinds are name, email, phone, id and address. Null and empty texts have no mention; repeated rows give theirs
     once. A name whose two words are together the name of an artist is no private person. Whole texts are read.
 
-    Plan: one Arrow pass gives narrow candidates, written once; repeated spans are aggregated to their different uses before anything is joined, counts are
-    aggregated partially, and only tables whose size is bounded by a share of the texts are broadcast. What is
+    Plan: one Arrow pass gives narrow candidates, written once, as are the different uses of names with their counts; repeated spans are aggregated to their different uses before anything is joined, counts are
+    aggregated partially, and only one-row totals and the list of given names are broadcast. What is
     gathered by text are the few mentions of one description.
     """
     own = texts.select("src", F.col("rec_id").cast("long"), F.col("text").cast("string")).where("rec_id is not null and text <> ''").distinct().withColumn("copy", F.xxhash64("text"))
