@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,7 +29,8 @@ def stream_upserts(spark: SparkSession, source: str, schema: StructType, key: st
         fresh = latest(batch, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
         try:
             touched = {r.bucket for r in fresh.select("bucket").distinct().collect()}  # at most ``buckets`` numbers
-            before = {b: n for b, n in _versions(session, state, number - 1).items() if b in touched}
+            written = {n: buckets for n, buckets in _written(session, state).items() if n < number}
+            before = {b: n for b, n in _newest(written).items() if b in touched}
             rows = fresh
             if before:
                 rows = rows.unionByName(_at(session, schema, state, before))
@@ -34,8 +38,7 @@ def stream_upserts(spark: SparkSession, source: str, schema: StructType, key: st
             merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/batch={number}")
         finally:
             fresh.unpersist()
-        for b, kept in before.items():
-            _remove_below(session, state, b, kept)
+        _remove_older(session, state, written, before)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -43,15 +46,18 @@ def stream_upserts(spark: SparkSession, source: str, schema: StructType, key: st
 
 def read_state(spark: SparkSession, schema: StructType, state: str) -> DataFrame:
     """The latest row of each key that a stream has folded into a state; none if there is no state yet."""
-    now = _versions(spark, state)
+    now = _newest(_written(spark, state))
     return _at(spark, schema, state, now).drop("bucket") if now else spark.createDataFrame([], schema)
 
 
 def _at(spark: SparkSession, schema: StructType, state: str, versions: dict[int, int]) -> DataFrame:
-    paths = [f"{state}/batch={n}/bucket={b}" for b, n in sorted(versions.items())]
-    rows = spark.read.schema(schema).option("basePath", state).parquet(*paths)
-    bucket = F.regexp_extract(F.input_file_name(), r"bucket=(\d+)", 1).cast("int")
-    return rows.select(*schema.fieldNames(), bucket.alias("bucket"))
+    """The rows of some buckets in their versions: whole batches are listed and pruned, as a path for each bucket would cost more than its rows."""
+    wanted: dict[int, list[int]] = {}
+    for b, n in versions.items():
+        wanted.setdefault(n, []).append(b)
+    rows = spark.read.schema(schema).option("basePath", state).parquet(*[f"{state}/batch={n}" for n in sorted(wanted)])
+    held = reduce(or_, [(F.col("batch") == n) & F.col("bucket").isin(sorted(bs)) for n, bs in wanted.items()])
+    return rows.where(held).select(*schema.fieldNames(), F.col("bucket").cast("int").alias("bucket"))
 
 
 def _folder(spark: SparkSession, at: str):
@@ -59,28 +65,34 @@ def _folder(spark: SparkSession, at: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def _numbers(spark: SparkSession, at: str, name: str) -> list[int]:
+def _names(spark: SparkSession, at: str) -> list[str]:
+    """Names of what is in a folder; none if there is no such folder."""
     fs, path = _folder(spark, at)
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def _numbers(names: list[str], name: str) -> list[int]:
     return [int(n.split("=")[1]) for n in names if n.startswith(f"{name}=")]
 
 
-def _versions(spark: SparkSession, state: str, up_to: int | None = None) -> dict[int, int]:
-    """For each bucket the newest finished batch that wrote it."""
-    out: dict[int, int] = {}
-    for n in sorted(_numbers(spark, state, "batch")):
-        fs, done = _folder(spark, f"{state}/batch={n}/_SUCCESS")
-        if (up_to is None or n <= up_to) and fs.exists(done):
-            out.update({b: n for b in _numbers(spark, f"{state}/batch={n}", "bucket")})
-    return out
+def _written(spark: SparkSession, state: str) -> dict[int, list[int]]:
+    """For each finished batch, in order, the buckets that are left of those it wrote."""
+    batches = {n: _names(spark, f"{state}/batch={n}") for n in sorted(_numbers(_names(spark, state), "batch"))}
+    return {n: _numbers(names, "bucket") for n, names in batches.items() if "_SUCCESS" in names}
+
+
+def _newest(written: dict[int, list[int]]) -> dict[int, int]:
+    """For each bucket the newest of these batches that wrote it."""
+    return {b: n for n, buckets in written.items() for b in buckets}
 
 
-def _remove_below(spark: SparkSession, state: str, bucket: int, kept: int) -> None:
-    for n in _numbers(spark, state, "batch"):
-        if n < kept:
-            fs, path = _folder(spark, f"{state}/batch={n}/bucket={bucket}")
-            if fs.exists(path):
-                fs.delete(path, True)
+def _remove_older(spark: SparkSession, state: str, written: dict[int, list[int]], before: dict[int, int]) -> None:
+    """Removes the versions of buckets older than ``before``, and batches of which nothing is left."""
+    for n, buckets in written.items():
+        old = [b for b in buckets if n < before.get(b, n)]
+        for at in [f"{state}/batch={n}"] if len(old) == len(buckets) else [f"{state}/batch={n}/bucket={b}" for b in old]:
+            fs, path = _folder(spark, at)
+            fs.delete(path, True)
 
 
 def stream_counts(events: DataFrame, time: str, group: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:

@@ -270,6 +270,16 @@ def test_stream_keeps_the_latest_row(spark, tmp_path):
     assert max(versions.values()) <= 2
 
 
+def test_stream_leaves_no_batch_without_rows(spark, tmp_path):
+    schema = spark.createDataFrame([], "id long, v string, seq long").schema
+    for n in range(5):
+        spark.createDataFrame([(1, "abcde"[n], n)] + [(2, "z", 0)] * (n == 1), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    state = str(tmp_path / "state")
+    stream_upserts(spark, str(tmp_path / "in"), schema, "id", "seq", state, str(tmp_path / "ck"), buckets=1).awaitTermination(120)
+    assert {tuple(r) for r in read_state(spark, schema, state).collect()} == {(1, "e", 4), (2, "z", 0)}
+    assert len(list((tmp_path / "state").glob("batch=*"))) == 2  # the newest and the one before, from which a batch is run again
+
+
 def test_levenshtein_similarity(spark):
     df = spark.createDataFrame([("abc", "abd"), ("", "")], "a string, b string")
     assert [round(r[0], 2) for r in df.select(levenshtein_similarity(F.col("a"), F.col("b"))).collect()] == [66.67, 100.0]
