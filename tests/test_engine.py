@@ -220,6 +220,19 @@ def test_local_library(spark, tmp_path):
     assert {(r.track_id, r.file.rsplit("/", 1)[1]) for r in given.collect()} == {(1, "01 - One.flac"), (2, "02. Two.FLAC")}
 
 
+@pytest.mark.parametrize("few", [0, 128])
+def test_best_folders_are_those_of_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(local_match, "FEW_PAIRS", few)
+    monkeypatch.setattr(local_match, "BLOCK", 3)  # a frequent word is several cells
+    monkeypatch.setattr(local_match, "PAIRS_AT_ONCE", 7)
+    names = ["The Great Album", "the great ALBUM ", "Album, The Great", "Été the Night", "The " + "Long Winding Road " * 8, "no", "The 東京 Album x" * 6, "Tide"]
+    rel = spark.createDataFrame([(i, n, a) for i, (n, a) in enumerate([(n, a) for n in names for a in ("Band", "The Long Band", None)])], "id long, title string, artists string")
+    found = spark.createDataFrame([(f"/m/{i % 3}/{a}{n}",) for i, n in enumerate(names) for a in ("", "Band - ", "Road ")] + [(None,), ("/z/The Great Album/",)], "path string")
+    want = {tuple(r) for r in local_match.best_folder(local_match.score_folders(rel, found)).collect()}
+    assert {tuple(r) for r in local_match.best_folders(rel, found).collect()} == want and len(want) > 15
+    assert local_match.best_folders(rel, found.limit(0)).count() == 0
+
+
 def test_music_and_scores(spark):
     keys = spark.createDataFrame([("C", "major"), ("A", "minor"), ("F#", "minor"), ("D#", "major"), ("Eb", "minor"), ("H", "minor"), (None, "minor"), ("C", None)], "k string, s string")
     got = [tuple(r) for r in keys.select(music.format_key(F.col("k"), F.col("s"), "camelot"), music.format_key(F.col("k"), F.col("s")), music.format_key(F.col("k"), F.col("s"), compact=True)).collect()]
