@@ -228,6 +228,22 @@ def test_an_artist_with_many_tracks_is_split_by_two_words(spark, monkeypatch):
     assert linked(spark, cat, v, f) == [{(0, 10), (1, 11), (2, 12), (3, 13)}, {(1, 1)}]
 
 
+def test_an_artist_with_many_tracks_has_the_same_candidates(spark, monkeypatch):
+    rel = spark.createDataFrame([(1, "Night Signals", 1999, "Tovelin", None, None, 1)], "id long, title string, year int, artist_names string, label_name string, catalog_number string, last_synced_at int")
+    rows = [(10 + i, 1, "A1", t, "4:00", None, "api") for i, t in enumerate(["Orbit Garden", "Window", "Second Meadow of Cinder", "Nocturne"])]
+    trk = spark.createDataFrame(rows, "id long, release_id long, position string, title string, duration string, artist string, feed string").withColumn("recorded_at", F.expr("timestamp_ntz '2024-01-01 00:00:00'"))
+    v = spark.createDataFrame([(0, "Tovelin - Orbit Gaxdxn", 241, "x", None, 1)], VIDEO)  # two errors in a word: only the other one is a key
+    f = spark.createDataFrame([(1, "/Tovelin - Night Sixnxls", ["01 - Window.flac"], 1)], FOLDER)
+    for most in (3, 2000):
+        monkeypatch.setattr(linkage, "HOT_LEAD", most)
+        cat = linkage.catalogue(rel, trk)
+        items = [linkage.video_words(v), linkage.folder_words(f)]
+        spell = linkage.spellings(cat, items)
+        videos, folders = linkage.candidates(cat, *(linkage.spelt(i, spell) for i in items))
+        assert {tuple(r) for r in videos.collect()} == {(0, 10)}, most
+        assert {(r["item"], r.entity) for r in folders.collect()} == {(1, 1)}, most
+
+
 def test_lists_that_can_be_each_others_share_a_key(spark, monkeypatch):
     monkeypatch.setattr(linkage, "LONG_LIST", 12)
     monkeypatch.setattr(linkage, "RARE_TITLE", 0)
