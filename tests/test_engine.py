@@ -2,11 +2,12 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from platterkit.functions import music
-from platterkit.functions.similarity import levenshtein_similarity
+from platterkit.functions.similarity import levenshtein_similarity, ratio
 from platterkit.operators import detail, facets, layout, local_match, pending, resolve, scores, search, sync
 from platterkit.schema import TABLES, Catalog
 from platterkit.sources import catalogue, fetch, folders
@@ -233,6 +234,34 @@ def test_best_folders_are_those_of_all_pairs(spark, monkeypatch, few):
     assert local_match.best_folders(rel, found.limit(0)).count() == 0
 
 
+def test_pairs_that_cannot_be_best_are_not_compared(monkeypatch):
+    compared = []
+    common = local_match._common_lengths
+    monkeypatch.setattr(local_match, "_common_lengths", lambda codes, lengths, left, right: compared.append(len(left)) or common(codes, lengths, left, right))
+    words = ["".join(chr(97 + (i * k + i // 7) % 26) for k in (3, 5, 7, 11, 13, 17)) for i in range(1, 301)]
+    rel = pa.table({"w": [1] * 300, "release_id": list(range(300)), "text_words": [f"live {w}" for w in words]})
+    own = [f"{w[:3]}{w[4:]} live" if i % 2 else f"live {w}" for i, w in enumerate(words)]
+    found = pa.table({"w": [1] * 300, "path": [f"/{i:03}" for i in range(300)], "own": own})
+    for least in (0.0, 75.0):
+        compared.clear()
+        want = {}
+        for r, w in enumerate(words):
+            score, path = min((-ratio(f"live {w}", o), f"/{i:03}") for i, o in enumerate(own))
+            if -score >= least:
+                want[r] = (path, -score)
+        got = local_match._best_of_cell(rel, found, least).to_pylist()
+        assert {x["release_id"]: (x["path"], x["ratio"]) for x in got} == want and len(want) > 100
+        assert sum(compared) < 300 * 300 / 4
+
+
+def test_files_of_confident_folders_alone(spark):
+    rel = spark.createDataFrame([(1, "Great Album", "Band"), (2, "Unheard Of", "Nobody"), (3, "Great Tide", "Band")], "id long, title string, artists string")
+    tracks = spark.createDataFrame([(10 * r + i, r, f"A{i}", t, a) for r in (1, 2, 3) for i, (t, a) in enumerate([("One", None), ("Two", "Band"), ("One More", "Band & Co")])], "id long, release_id long, position string, title string, artist string")
+    found = spark.createDataFrame([("/m/Band - Great Album", ["/m/1 One.mp3", "/m/2 Band - Two.mp3"]), ("/m/Great", ["/m/x.mp3"]), ("/n/Band Great Tide!", ["/n/One More.mp3", "/n/One.mp3", "/n/Tow.mp3"])], "path string, files array<string>")
+    want = {tuple(r) for r in local_match.match_library(rel, tracks, found)[1].collect()}
+    assert {tuple(r) for r in local_match.match_files(rel, tracks, found).collect()} == want and len(want) == 5
+
+
 def test_music_and_scores(spark):
     keys = spark.createDataFrame([("C", "major"), ("A", "minor"), ("F#", "minor"), ("D#", "major"), ("Eb", "minor"), ("H", "minor"), (None, "minor"), ("C", None)], "k string, s string")
     got = [tuple(r) for r in keys.select(music.format_key(F.col("k"), F.col("s"), "camelot"), music.format_key(F.col("k"), F.col("s")), music.format_key(F.col("k"), F.col("s"), compact=True)).collect()]
