@@ -473,3 +473,13 @@ def test_maximum_scoring_segments_against_brute_force():
         found = [sum(own[a : b - 1]) for a, b in model.segments(text)]
         assert (max(found) == best) if best > 0 else not found
     assert unicodedata.name("�") == "REPLACEMENT CHARACTER"
+
+
+def test_track_lengths_are_read_once_a_track(spark):
+    feeds = spark.read.parquet("/root/testdata/sf0.001/feeds.parquet").limit(0)
+    tracks = spark.createDataFrame([(1, "3:20", "f", 0), (2, "200", "f", 0), (3, "3 min", "f", 0), (4, None, "f", 0), (5, "side A", None, None)], "id long, duration string, feed string, at_us long")
+    got = {r.entity: (r.readings, r.minutes) for r in linkage.track_lengths(tracks, feeds).collect()}
+    assert got[1] == ([200.0], False) and got[3] == ([180.0], True) and got[4] == ([None], False) and got[5] == ([None], False)
+    assert len(got[2][0]) == 4 and 200.0 in got[2][0] and not got[2][1]  # a bare number of unknown unit
+    near = linkage.track_lengths(tracks, feeds).withColumn("s", linkage._seconds(F.lit(195.0))).where("entity in (1, 2)")
+    assert {r.s for r in near.collect()} == {200.0}
