@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platterkit.llm import canonical, cooccurrence, linkage, mixing, mojibake, packing, privacy, softlogic, tokens
+from platterkit.session import stash
 
 LONG = "Ünicode text – " * 20_000
 
@@ -184,6 +185,20 @@ def linked_folders(spark, releases, tracks, folders):
 NINE = ["Amber Coast", "Brass Wheel", "Copper Tide", "Dusty Lamp", "Early Frost", "Faded Map", "Golden Thread", "Hidden Stair", "Iron Petal"]
 
 
+def test_no_step_of_linking_is_one_large_plan(spark, monkeypatch):
+    # the driver plans what is left of a step again after each of its stages, and holds the plans' texts
+    exchanges = []
+
+    def counted(df):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return stash(df)
+
+    monkeypatch.setattr(linkage, "settle", counted)
+    monkeypatch.setattr(softlogic, "settle", counted)
+    assert linked_folders(spark, [(1, "Nocturne", "Tovelin"), (2, "Else", "Amber")], [*((1, t) for t in NINE[:5]), (2, "Unlike")], [(1, "/m/rip_1", [f"{t}.flac" for t in NINE[:5]])]) == {(1, 1)}
+    assert max(exchanges) <= 14
+
+
 def test_a_title_word_that_is_an_artist_shuts_no_folder_out(spark):
     # "amber" and "frost" are other artists' lead words
     releases = [(1, "Nocturne", "Tovelin"), (2, "Else", "Amber"), (3, "More", "Frost")]
