@@ -254,6 +254,18 @@ def test_pairs_that_cannot_be_best_are_not_compared(monkeypatch):
         assert sum(compared) < 300 * 300 / 4
 
 
+@pytest.mark.parametrize("least", [0.0, 0.75])
+def test_folders_without_a_shared_word_are_compared(spark, monkeypatch, least):
+    monkeypatch.setattr(local_match, "FEW_PAIRS", 0)
+    monkeypatch.setattr(local_match, "KEPT", 5)
+    # neither "Grat Albums" nor "U2" nor a longer name with a letter wrong everywhere shares a word of three letters with its release
+    rel = spark.createDataFrame([(1, "Great Album", None), (2, "XO", "U2"), (3, "Long Winding Road " * 9, "Band"), (4, "!", None), (5, "Zq", "Zq")], "id long, title string, artists string")
+    found = spark.createDataFrame([("/m/Grat Albums",), ("/m/u2 - xo",), ("/n/u2 - xo",), ("/m/" + "Longg Wwinding Roadd " * 9 + "Bband",), ("/m/?",), (None,), ("/m/Albu",)], "path string")
+    want = {tuple(r) for r in local_match.best_folder(local_match.score_folders(rel, found)).where(f"score >= {least}").collect()}
+    assert {tuple(r) for r in local_match.best_folders(rel, found, least).collect()} == want
+    assert {(r[0], r[1][:7]) for r in want} >= {(1, "/m/Grat"), (2, "/m/u2 -"), (3, "/m/Long"), (4, "/m/?")}
+
+
 def test_files_of_confident_folders_alone(spark):
     rel = spark.createDataFrame([(1, "Great Album", "Band"), (2, "Unheard Of", "Nobody"), (3, "Great Tide", "Band")], "id long, title string, artists string")
     tracks = spark.createDataFrame([(10 * r + i, r, f"A{i}", t, a) for r in (1, 2, 3) for i, (t, a) in enumerate([("One", None), ("Two", "Band"), ("One More", "Band & Co")])], "id long, release_id long, position string, title string, artist string")
