@@ -203,9 +203,13 @@ def test_steps_of_linking_broadcast_nothing_by_guess(spark):
     # the file is a few bytes, what its arrays are unfolded to is not
     few = stash(spark.range(4).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(99)))).groupBy("id").agg(F.collect_list("n").alias("ns")))
     before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    listed = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    runs = lambda: {x.executionId(): x.physicalPlanDescription() for seen in [listed()] for x in map(seen.apply, range(seen.size()))}
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    old = runs()
     assert linkage.settle(spark.range(400).join(few.select(F.explode("ns").alias("id")), "id")).count() == 400
-    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
-    plans = [runs.apply(i).physicalPlanDescription() for i in range(max(0, runs.size() - 6), runs.size())]
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [plan for no, plan in runs().items() if no not in old]
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
     assert {k: spark.conf.get(k, None) for k in before} == before
 
